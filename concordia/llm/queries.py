@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, bounded_ring, curriculum_mix, fingerprint_dedup
+from . import bin_completion, bounded_ring, curriculum_mix, fingerprint_dedup, shingle_join
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.components(table(spark, sf_dir, "documents"))
+
+
 def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring.shard_rows(table(spark, sf_dir, "documents"), shards=24)
 
@@ -34,7 +38,7 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_curriculum_mix, op5_fingerprint_dedup, op9_bounded_ring, op10_bin_completion)
+    f.__name__: f for f in (op4_curriculum_mix, op5_fingerprint_dedup, op8_shingle_join, op9_bounded_ring, op10_bin_completion)
 }
 
 ORACLE_SQL: dict[str, str] = {
