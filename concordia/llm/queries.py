@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, bounded_ring, curriculum_mix, fingerprint_dedup, shingle_join
+from . import bin_completion, bounded_ring, curriculum_mix, fingerprint_dedup, language_fusion, shingle_join
 from .common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language_fusion.of_documents(table(spark, sf_dir, "documents"))
+    return language_fusion.classify(docs).withColumnRenamed("id", "doc_id")
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = curriculum_mix.curriculum(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").sort("position", "doc_id")
@@ -38,7 +43,7 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_curriculum_mix, op5_fingerprint_dedup, op8_shingle_join, op9_bounded_ring, op10_bin_completion)
+    f.__name__: f for f in (op2_language_fusion, op4_curriculum_mix, op5_fingerprint_dedup, op8_shingle_join, op9_bounded_ring, op10_bin_completion)
 }
 
 ORACLE_SQL: dict[str, str] = {
