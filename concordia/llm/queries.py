@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, bounded_ring, curriculum_mix, fingerprint_dedup, language_fusion, shingle_join
+from . import bin_completion, bounded_ring, curriculum_mix, fingerprint_dedup, language_fusion, shingle_join, sparse_suffixes, token_attribution
 from .common import table
 
 
@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return token_attribution.section_tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = language_fusion.of_documents(table(spark, sf_dir, "documents"))
     return language_fusion.classify(docs).withColumnRenamed("id", "doc_id")
@@ -30,6 +37,10 @@ def op5_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.components(table(spark, sf_dir, "documents"))
 
@@ -43,7 +54,7 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_fusion, op4_curriculum_mix, op5_fingerprint_dedup, op8_shingle_join, op9_bounded_ring, op10_bin_completion)
+    f.__name__: f for f in (op1_token_attribution, op2_language_fusion, op4_curriculum_mix, op5_fingerprint_dedup, op6_sparse_suffixes, op8_shingle_join, op9_bounded_ring, op10_bin_completion)
 }
 
 ORACLE_SQL: dict[str, str] = {
