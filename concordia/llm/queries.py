@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, bounded_ring, curriculum_mix, fingerprint_dedup, language_fusion, shingle_join, sparse_suffixes, token_attribution
+from . import (
+    bin_completion,
+    bootstrapped_pii,
+    bounded_ring,
+    curriculum_mix,
+    fingerprint_dedup,
+    language_fusion,
+    line_frequency,
+    shingle_join,
+    sparse_suffixes,
+    token_attribution,
+)
 from .common import table
 
 
@@ -28,6 +39,10 @@ def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_fusion.classify(docs).withColumnRenamed("id", "doc_id")
 
 
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrapped_pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = curriculum_mix.curriculum(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").sort("position", "doc_id")
@@ -41,6 +56,10 @@ def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.line_quality(table(spark, sf_dir, "documents"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.components(table(spark, sf_dir, "documents"))
 
@@ -54,7 +73,19 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_attribution, op2_language_fusion, op4_curriculum_mix, op5_fingerprint_dedup, op6_sparse_suffixes, op8_shingle_join, op9_bounded_ring, op10_bin_completion)
+    f.__name__: f
+    for f in (
+        op1_token_attribution,
+        op2_language_fusion,
+        op3_bootstrapped_pii,
+        op4_curriculum_mix,
+        op5_fingerprint_dedup,
+        op6_sparse_suffixes,
+        op7_line_frequency,
+        op8_shingle_join,
+        op9_bounded_ring,
+        op10_bin_completion,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
