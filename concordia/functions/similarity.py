@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def grams(c: Column, n: int = 3) -> Column:
@@ -55,7 +56,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     return round(jaro + lead * 0.1 * (1 - jaro), 5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler with prefix weight 0.1 up to four letters, without a threshold for it, to five places."""
     return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -74,7 +75,7 @@ def _osa(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edits with transposition of neighbours, each place edited once."""
     return pd.Series([None if x is None or y is None else _osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Leading articles of Spanish and English names.
 ARTICLES = ("el", "la", "los", "las", "un", "una", "unos", "unas", "the", "a", "an")
@@ -74,7 +75,7 @@ def variants(c: Column) -> Column:
     return F.array_distinct(F.array(n["primary"], n["secondary"], n["articleless"], n["compact"]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unicode_key(s: pd.Series) -> pd.Series:
     """NFKC, lower case, marks removed: for scripts beyond the accent table.  Apply to distinct strings and join back."""
 
@@ -176,7 +177,7 @@ def html_text(c: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(s: pd.Series) -> pd.Series:
     """UTF-8 that was read as Windows-1252, read rightly; other texts stay."""
 
