@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import bloom_bits, bloom_has, drop_written, gram_hashes, mix64, texts, word_hashes, written
 
 MIN_WORDS, BLOCK = 50, 25
+NONE = -(1 << 63)  # stands for a null doc_id
 
 
 def minimisers(blocks: np.ndarray, width: int) -> np.ndarray:
@@ -52,7 +53,7 @@ def suffix_positions(text: bytes, words: int = MIN_WORDS, block: int = BLOCK) ->
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
-    return np.array([-(1 << 63) if x is None else int(x) for x in b.column("doc_id").to_pylist()], dtype=np.int64)
+    return np.array([NONE if x is None else int(x) for x in b.column("doc_id").to_pylist()], dtype=np.int64)
 
 
 def retained(docs: DataFrame, words: int, block: int) -> DataFrame:
@@ -218,7 +219,8 @@ def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, block: int = BLOCK,
     parts = parts.withColumn("_new", (F.col("s") > F.coalesce(reach, F.lit(-1))).cast("int"))
     parts = parts.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = parts.groupBy("doc_id", "_span").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("o").alias("other_id"))
+    real = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
     return spans.select(
-        "doc_id", F.col("start_word").cast("long"), F.col("end_word").cast("long"),
-        (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), "other_id",
+        real("doc_id"), F.col("start_word").cast("long"), F.col("end_word").cast("long"),
+        (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), real("other_id"),
     )
