@@ -74,7 +74,7 @@ class TextModel:
         return self.logp[:, t].sum(axis=1, dtype=np.float64) if len(t) else None
 
 
-def fit_text(docs: DataFrame, sample: int = 4000, least: int = 20) -> TextModel:
+def fit_text(docs: DataFrame, sample: int = 4000, least: int = 5) -> TextModel:
     """docs: id, text, declared.  Fits on at most `sample` rows."""
     rows = docs.filter(F.col("declared").isNotNull() & F.col("text").isNotNull())
     chosen = rows.select("declared", "text", F.xxhash64("id", "text").alias("_h")).orderBy("_h").limit(sample)
