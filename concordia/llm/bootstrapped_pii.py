@@ -37,7 +37,7 @@ PATTERNS = {
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 #: An identifier-like string: a word with a digit or an @, and groups of digits that follow it.
-INSTANCE = r"(?:\G|(?<![^\s]))[^\s0-9@]*+[0-9@][^\s]*+(?:\x20[0-9().-]*+[0-9][0-9().-]*+(?![^\s]))*+"
+INSTANCE = r"(?:\G|(?<![^\s]))[^\s0-9@]*+[0-9@][^\s]*+(?:\x20[().-]*+[0-9][0-9().-]*+(?![^\s]))*+"
 
 
 def digits(m: Column) -> Column:
@@ -153,7 +153,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "base", F.transform(F.filter(shaped, free), other).alias("others"))
 
 
-def score(seen: DataFrame, rounds: int = 3, least: int = 5, smooth: float = 1.0) -> DataFrame:
+def score(seen: DataFrame, rounds: int = 3, least: int = 5, smooth: float = 0.5) -> DataFrame:
     """pattern, kind, confidence, support of every pattern with enough seeds.
 
     seen: pattern, inst (hash of an instance), kind (of a seed, else null), one
