@@ -8,8 +8,9 @@ which two hashed bitmaps differ bound the overlap from above; what passes is
 decided by exact intersection of the sorted arrays.
 
 Hot groups: equal sets are one node.  Every tile first links its sets to two
-leaders only, and sets already in one component need no more comparing, so the
-tiles of a large group of near copies vanish before any of their pairs is made.
+leaders only, and sets already in one component need no more
+comparing, so the tiles of a large group of near copies mostly vanish before
+their pairs are made.
 Tiles that stay large are cut into blocks.  The order puts shingles that many
 documents share last (fixed-size counters over all documents; they steer work,
 not results), so passages that many documents share make no tiles.
@@ -33,6 +34,7 @@ from .common import bloom_bits, bloom_has, drop_written, gram_hashes, texts, wor
 
 WORDS = 5
 NUM, DEN = 80, 100
+FINE = 6  # bits a shingle of the bitmaps that candidate pairs are held against
 NONE = -(1 << 63)  # stands for a null doc_id
 
 
@@ -53,9 +55,9 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
     return hi - (1 << 64) * (hi >> 63), lo - (1 << 64) * (lo >> 63)
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """Bits h mod 2^b, b by the set's size: about two bits a shingle, 64 at least."""
-    b = max(6, int(2 * len(h) - 1).bit_length())
+def bitmap(h: np.ndarray, per: int = 1) -> bytes:
+    """Bits h mod 2^b, b by the set's size: `per` to twice as many bits a shingle, 64 at least."""
+    b = max(6, int(per * len(h) - 1).bit_length())
     bits = np.zeros(1 << b, dtype=bool)
     bits[(h & np.uint64((1 << b) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -94,9 +96,9 @@ def _batch(rows: list[tuple], spec: list[tuple[str, pa.DataType]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, spec, strict=True)], [n for n, _ in spec])
 
 
-def signatures(docs: DataFrame, k: int = WORDS, buckets: int = 1 << 16) -> DataFrame:
-    """doc_id, n, k1, k2, bits for every document; rows with n = -1 hold shared-shingle counters: k1 bucket, k2 count."""
-    spec = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary())]
+def signatures(docs: DataFrame, k: int = WORDS, buckets: int = 1 << 18) -> DataFrame:
+    """doc_id, n, k1, k2, bits (coarse), fine for every document; rows with n = -1 hold shared-shingle counters: k1 bucket, k2 count."""
+    spec = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("fine", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(buckets, dtype=np.int64)
@@ -106,21 +108,21 @@ def signatures(docs: DataFrame, k: int = WORDS, buckets: int = 1 << 16) -> DataF
                 h = shingles(x, k)
                 if len(h):
                     seen.append((h >> np.uint64(40)).astype(np.int64) & (buckets - 1))
-                    rows.append((i, len(h), *set_key(h), bitmap(h)))
+                    rows.append((i, len(h), *set_key(h), bitmap(h), bitmap(h, FINE)))
                 else:
-                    rows.append((i, 0, 0, 0, b""))
+                    rows.append((i, 0, 0, 0, b"", b""))
             if seen:
                 count += np.bincount(np.concatenate(seen), minlength=buckets)
             if rows:
                 yield _batch(rows, spec)
         at = np.flatnonzero(count)
         if len(at):
-            yield _batch([(None, -1, int(i), int(count[i]), None) for i in at], spec)
+            yield _batch([(None, -1, int(i), int(count[i]), None, None) for i in at], spec)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, fine binary")
 
 
-def shared_levels(counters: DataFrame, buckets: int = 1 << 16) -> np.ndarray:
+def shared_levels(counters: DataFrame, buckets: int = 1 << 18) -> np.ndarray:
     """How far each bucket stands out above the mean, in powers of two."""
     got = counters.groupBy("k1").agg(F.sum("k2").alias("c")).toPandas()  # `buckets` rows at most
     count = np.zeros(buckets)
@@ -129,9 +131,20 @@ def shared_levels(counters: DataFrame, buckets: int = 1 << 16) -> np.ndarray:
     return np.where(over > 1, np.floor(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.uint8)
 
 
+def shared_at_least(n: int) -> int:
+    """How many shingles of its prefix a set of n shingles shares with any partner of its size or more."""
+    return max(1, n // 12)
+
+
 def prefix(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The shingles one of which every linked partner has, rarely shared ones first."""
-    p = len(h) - -(-NUM * len(h) // DEN) + 1
+    """The first shingles, rarely shared ones first, of which every linked partner has shared_at_least() or more.
+
+    At most n - ceil(0.8 n) shingles are not the partner's, so so many more
+    than those hold that number of common ones; they are the first common ones
+    in the common order, and so lie in the partner's prefix as well.
+    """
+    n = len(h)
+    p = min(n, n - -(-NUM * n // DEN) + shared_at_least(n))
     level = levels[(h >> np.uint64(40)).astype(np.int64) & (len(levels) - 1)]
     return h[np.lexsort((h, level))[:p]]
 
@@ -170,20 +183,20 @@ def _side(df: DataFrame, s: str, *rest: str) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that the bitmaps allow."""
+    """Pairs that the fine bitmaps allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = b.to_pydict()
             ok = [
                 may_link(n, int.from_bytes(x, "little"), len(x), m, int.from_bytes(y, "little"), len(y))
-                for n, x, m, y in zip(d["a_n"], d["a_bits"], d["b_n"], d["b_bits"], strict=True)
+                for n, x, m, y in zip(d["a_n"], d["a_fine"], d["b_n"], d["b_fine"], strict=True)
             ]
             if any(ok):
                 yield b.select(list(PAIR)).filter(pa.array(ok))
 
-    both = pairs.join(_side(sets, "a", "n", "bits"), ["a1", "a2"]).join(_side(sets, "b", "n", "bits"), ["b1", "b2"])
-    return both.select(*PAIR, "a_n", "a_bits", "b_n", "b_bits").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    both = pairs.join(_side(sets, "a", "n", "fine"), ["a1", "a2"]).join(_side(sets, "b", "n", "fine"), ["b1", "b2"])
+    return both.select(*PAIR, "a_n", "a_fine", "b_n", "b_fine").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, log2_bits: int) -> DataFrame:
@@ -228,123 +241,193 @@ def _union_keys(pairs: DataFrame) -> DataFrame:
     return a.union(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
 
 
-def labels(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def labels(edges: DataFrame, sets: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """k1, k2, rep, lab of every set with an edge: the smallest rep it reaches.
 
-    Each round takes the least label of the neighbours and then that label's
-    own label, so long chains take a logarithmic number of rounds.
+    Each round takes the least of the neighbours' labels and of the own label's
+    label, so long chains take a logarithmic number of rounds.  start: labels
+    from fewer edges.
     """
     both = edges.union(edges.select("b1", "b2", "a1", "a2")).distinct()
     both = written(both, "op8-edges")
-    lab = sets.join(_union_keys(edges), ["k1", "k2"], "left_semi").select("k1", "k2", "rep", F.col("rep").alias("lab"))
+    lab = sets.join(_union_keys(edges), ["k1", "k2"], "left_semi").select("k1", "k2", "rep")
+    if start is not None:
+        lab = lab.join(start.select("k1", "k2", F.col("lab").alias("_s")), ["k1", "k2"], "left").select("k1", "k2", "rep", F.coalesce("_s", "rep").alias("lab"))
+    else:
+        lab = lab.withColumn("lab", F.col("rep"))
     lab = written(lab, "op8-labels")
     while True:
         near = both.join(lab.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "lab"), ["a1", "a2"])
         near = near.groupBy(F.col("b1").alias("k1"), F.col("b2").alias("k2")).agg(F.min("lab").alias("_near"))
-        step = lab.join(near, ["k1", "k2"], "left").withColumn("_new", F.least("lab", "_near"))
-        step = written(step.select("k1", "k2", "rep", F.col("lab").alias("_old"), F.col("_new").alias("lab")), "op8-step")
-        root = step.groupBy("rep").agg(F.min("lab").alias("_top")).withColumnRenamed("rep", "_of")
-        nxt = step.join(root, F.col("lab") == F.col("_of"), "left").withColumn("lab", F.least("lab", "_top"))
-        nxt = written(nxt.select("k1", "k2", "rep", "_old", "lab"), "op8-labels")
-        drop_written(step, lab)
+        root = lab.groupBy("rep").agg(F.min("lab").alias("_top")).withColumnRenamed("rep", "_of")
+        nxt = lab.join(root, F.col("lab") == F.col("_of"), "left").join(near, ["k1", "k2"], "left")
+        nxt = written(nxt.select("k1", "k2", "rep", F.col("lab").alias("_old"), F.least("lab", "_top", "_near").alias("lab")), "op8-labels")
+        drop_written(lab)
         changed = nxt.filter("lab < _old").head(1)
         lab = nxt
         if not changed:
             drop_written(both)
-            return lab.drop("_old")
+            return lab
 
 
-def residual(rows: DataFrame, sets: DataFrame, lab: DataFrame, block: int = 2048) -> DataFrame:
-    """Pairs of sets in different components that share a tile and that the bitmaps allow.
+def open_tiles(rows: DataFrame, sets: DataFrame, lab: DataFrame | None) -> DataFrame:
+    """token, tile, k1, k2, n, band, lab, size, grouped of the tiles that hold sets of more than one component.
 
     rows: token, k1, k2, n, band.  A band's tile holds its own sets and, as
-    guests, those of the band below; larger tiles are cut into blocks.
+    guests, those of the band below.
     """
-    d = rows.join(lab.select("k1", "k2", "lab"), ["k1", "k2"], "left")
-    d = d.join(sets.select("k1", "k2", "rep"), ["k1", "k2"]).withColumn("lab", F.coalesce("lab", "rep")).drop("rep")
+    d = rows.join(sets.select("k1", "k2", "rep"), ["k1", "k2"])
+    if lab is None:
+        d = d.withColumnRenamed("rep", "lab").withColumn("_in", F.lit(False))
+    else:
+        d = d.join(lab.select("k1", "k2", "lab"), ["k1", "k2"], "left").withColumn("_in", F.col("lab").isNotNull())
+        d = d.withColumn("lab", F.coalesce("lab", "rep")).drop("rep")
     d = d.select("*", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"))
-    many = d.groupBy("token", "tile").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("size"), F.max("band").alias("top"))
-    many = written(many.filter((F.col("lo") < F.col("hi")) & (F.col("top") == F.col("tile"))).select("token", "tile", "size"), "op8-tiles")
-    d = d.join(many, ["token", "tile"])
+    many = d.groupBy("token", "tile").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("size"), F.max("band").alias("top"), F.bool_or("_in").alias("grouped"))
+    many = written(many.filter((F.col("lo") < F.col("hi")) & (F.col("top") == F.col("tile"))).select("token", "tile", "size", "grouped"), "op8-open")
+    return d.drop("_in").join(many, ["token", "tile"])
+
+
+def star(rows: DataFrame) -> DataFrame:
+    """Pairs of every set with two leaders of its band among the sets of a token.
+
+    Eight ways to draw leaders are dealt to the tokens, so a group of near
+    copies meets many leaders while the tokens that repeat it give equal pairs.
+    This only saves work: what it leaves open, the later steps compare.
+    """
+    d = rows.withColumn("_r", F.xxhash64("k1", F.col("token").bitwiseAND(F.lit(7))))
+    ends = [f(c, "_r").alias(f"{x}{c[1]}") for x, f in (("p", F.min_by), ("q", F.max_by)) for c in ("k1", "k2")]
+    lead = written(d.groupBy("token", "band").agg(*ends).filter("p1 <> q1"), "op8-leaders")
+    side = lambda x: F.struct(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"))
+    mine = F.struct("k1", "k2")
+    d = rows.join(lead, ["token", "band"]).select("n", mine.alias("m"), F.explode(F.array(side("p"), side("q"))).alias("l")).filter("m <> l")
+    d = d.select("n", F.least("m", "l").alias("a"), F.greatest("m", "l").alias("b"))
+    d = d.groupBy(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return d.filter("c > 1 or n <= 60").select(*PAIR)  # near copies of some length share many tokens
+
+
+def compare(group: list[tuple], best: bool) -> list[tuple]:
+    """Pairs of a tile's rows (tile, band, own block, other block's rows apart, n, lab, k1, k2, bits) that the bound allows.
+
+    With best, of each two components only the pair with the greatest bound.
+    """
+    if len(group) < 2:
+        return []
+    group = sorted(group, key=lambda r: r[4])
+    tile, band, own, apart, n, lab, k1, k2, bits = zip(*group, strict=True)
+    to = min(map(len, bits))
+    flat = [b if len(b) == to else fold_bits(int.from_bytes(b, "little"), len(b), to).to_bytes(to, "little") for b in bits]
+    m = np.frombuffer(b"".join(flat), dtype=np.uint64).reshape(len(group), -1)
+    n, lab, own = np.array(n), np.array(lab), np.array(own)
+    home = np.array(tile) == np.array(band)
+    first = np.searchsorted(n * DEN, NUM * n)
+    top: dict[tuple[int, int], tuple[int, tuple]] = {}
+    found = []
+    for y in range(1, len(group)):
+        at = slice(first[y], y)
+        ok = (lab[at] != lab[y]) & (home[at] | home[y])
+        if apart[0]:
+            ok &= own[at] != own[y]
+        at = np.flatnonzero(ok) + first[y]
+        if not len(at):
+            continue
+        over = (n[at] + n[y] - np.bitwise_count(m[at] ^ m[y]).sum(axis=1, dtype=np.int64)) // 2
+        ok = DEN * over >= NUM * (n[at] + n[y] - over)
+        for x, o in zip(at[ok].tolist(), over[ok].tolist(), strict=True):
+            a, b = sorted(((k1[x], k2[x]), (k1[y], k2[y])))
+            if not best:
+                found.append((*a, *b))
+            elif o > top.get(key := (min(lab[x], lab[y]), max(lab[x], lab[y])), (-1, ()))[0]:
+                top[key] = (o, (*a, *b))
+    return [p for _, p in top.values()] if best else found
+
+
+def residual(tiles: DataFrame, sets: DataFrame, best: bool, block: int = 2048) -> DataFrame:
+    """Pairs of sets in different components that share a tile and that the bitmaps allow; large tiles are cut into blocks.
+
+    Tiles with members of a component carry fine bitmaps, as most of their
+    pairs are close; the others carry coarse ones.
+    """
     blocks = F.ceil(F.col("size") / block)
-    d = d.withColumn("own", F.pmod(F.xxhash64("k1", "k2"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    d = tiles.withColumn("own", F.pmod(F.xxhash64("k1", "k2"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     d = d.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    d = d.join(sets.select("k1", "k2", "bits"), ["k1", "k2"])
-    d = d.repartition("token", "tile", "i", "j").sortWithinPartitions("token", "tile", "i", "j")
+    d = d.join(sets.select("k1", "k2", "bits", "fine"), ["k1", "k2"]).withColumn("bits", F.when(F.col("grouped"), F.col("fine")).otherwise(F.col("bits")))
+    cols = ["token", "tile", "i", "j", "own", "band", "n", "lab", "k1", "k2", "bits"]
+    d = d.select(*cols).repartition("token", "tile", "i", "j").sortWithinPartitions("token", "tile", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = [(c, pa.int64()) for c in PAIR]
+        seen: set[tuple] = set()  # a pair meets in many tiles
         out: list[tuple] = []
         key, group = None, []
+
+        def close() -> None:
+            for p in compare(group, best):
+                if p not in seen:
+                    out.append(p)
+                    if len(seen) < 1 << 20:
+                        seen.add(p)
+
         for b in batches:
-            for r in zip(*[b.column(c).to_pylist() for c in ("token", "tile", "i", "j", "own", "band", "n", "lab", "k1", "k2", "bits")], strict=True):
+            for r in zip(*[b.column(c).to_pylist() for c in cols], strict=True):
                 if r[:4] != key:
-                    out += compare(group)
+                    close()
                     key, group = r[:4], []
-                group.append(r)
+                group.append((r[1], r[5], r[4], r[2] != r[3], *r[6:]))
             if len(out) > 10_000:
                 yield _batch(out, spec)
-                out = []
-        out += compare(group)
+                out.clear()
+        close()
         if out:
             yield _batch(out, spec)
 
-    def compare(group: list[tuple]) -> list[tuple]:
-        found = []
-        if len(group) < 2:
-            return found
-        rows_ = sorted(((r[6], r[5] == r[1], r[4], r[7], r[8], r[9], int.from_bytes(r[10], "little"), len(r[10])) for r in group), key=lambda r: r[0])
-        apart = group[0][2] != group[0][3]
-        first = 0
-        for y in range(len(rows_)):
-            n, home, own, la, p, q, bits, size = rows_[y]
-            while rows_[first][0] * DEN < NUM * n:
-                first += 1
-            for x in range(first, y):
-                m, home2, own2, lb, p2, q2, bits2, size2 = rows_[x]
-                if la == lb or not (home or home2) or (apart and own == own2):
-                    continue
-                if may_link(n, bits, size, m, bits2, size2):
-                    found.append((p, q, p2, q2) if (p, q) < (p2, q2) else (p2, q2, p, q))
-        return found
+    return d.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct()
 
-    cols = ["token", "tile", "i", "j", "own", "band", "n", "lab", "k1", "k2", "bits"]
-    return d.select(*cols).mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct()
 
+def components(docs: DataFrame, k: int = WORDS, buckets: int = 1 << 18, log2_bits: int = 23) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
 
-def components(docs: DataFrame, k: int = WORDS, buckets: int = 1 << 16, log2_bits: int = 23) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+    Leaders merge most of a group of near copies, the closest pairs of two
+    components most of the rest; then all pairs of sets that still share a tile
+    and no component are compared.
+    """
     sig = written(signatures(docs, k, buckets), "op8-signatures")
     levels = shared_levels(sig.filter("n = -1"), buckets)
     rows = sig.filter("n >= 0")
     toks = written(prefixes(docs, levels, k), "op8-prefixes")
     shared = toks.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("token")
-    tiles = toks.join(shared, "token").groupBy("token", "k1", "k2").agg(F.min("n").alias("n"))
-    tiles = written(tiles.withColumn("band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")), "op8-tiles")
+    found = written(toks.join(shared, "token").groupBy("token", "k1", "k2").agg(F.min("n").alias("n")), "op8-shared")
     drop_written(toks)
+    # A set with fewer shared shingles than any partner of 0.8 times its size or more must share has no partner.
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 12))
+    enough = found.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least).select("k1", "k2")
+    band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
+    tiles = written(found.join(enough, ["k1", "k2"], "left_semi").withColumn("band", band), "op8-tiles")
+    drop_written(found)
     in_tiles = tiles.select("k1", "k2").distinct()
-    sets = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fine").alias("fine"))
     sets = written(sets.join(in_tiles, ["k1", "k2"], "left_semi"), "op8-sets")
 
-    lead = tiles.groupBy("token", "band").agg(
-        F.min("k1").alias("p1"), F.min_by("k2", "k1").alias("p2"), F.max("k1").alias("q1"), F.max_by("k2", "k1").alias("q2")
-    )
-    lead = written(lead.filter("p1 < q1"), "op8-leaders")
-    star = tiles.join(lead, ["token", "band"]).select(
-        "k1", "k2", F.explode(F.array(F.struct(F.col("p1").alias("l1"), F.col("p2").alias("l2")), F.struct(F.col("q1").alias("l1"), F.col("q2").alias("l2")))).alias("l")
-    )
-    star = star.filter("k1 <> l.l1 or k2 <> l.l2").select(F.col("l.l1").alias("a1"), F.col("l.l2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
-    star = written(bounded(star, sets), "op8-star")
-    drop_written(lead)
-    edges = verified(star, sets, docs, k, log2_bits)
-    lab = labels(edges, sets)
-    more = written(residual(tiles, sets, lab), "op8-residual")
-    if more.head(1):
-        edges = edges.union(verified(more, sets, docs, k, log2_bits))
-        lab = labels(edges, sets)
+    edges, lab = None, None
+    for step in ("star", "best", "all"):
+        if step == "star":
+            pairs = star(tiles)
+        else:
+            todo = written(open_tiles(tiles, sets, lab), "op8-todo")
+            pairs = residual(todo.filter("grouped") if step == "best" else todo, sets, step == "best")
+        close = written(bounded(pairs, sets), "op8-close")
+        if close.head(1):
+            found = verified(close, sets, docs, k, log2_bits)
+            edges = found if edges is None else edges.union(found)
+            lab = labels(edges, sets, lab)
+        drop_written(close)
     # Sets without links still join their equal copies.
     own = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1")
-    own = written(own.join(lab.select("k1", "k2", "lab"), ["k1", "k2"], "full").select("k1", "k2", F.least("lab", "least").alias("lab")), "op8-components")
+    if lab is None:
+        own = own.withColumnRenamed("least", "lab")
+    else:
+        own = own.join(lab.select("k1", "k2", "lab"), ["k1", "k2"], "full").withColumn("lab", F.least("lab", "least"))
+    own = written(own.select("k1", "k2", "lab"), "op8-components")
     out = rows.join(own, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.least("lab", "doc_id")).otherwise(F.col("doc_id")))
     real = lambda c: F.when(F.col(c) != NONE, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
