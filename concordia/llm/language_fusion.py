@@ -3,7 +3,7 @@
 The posterior of a language is proportional to
     P(text | language) ^ damping * P(declared | language) * P(suffix | language) * P(language | host)
 - text: naive Bayes on hashed byte trigrams, fitted on a bounded sample of
-  documents with a declared language (`sample` rows, smallest hashes first);
+  documents with a declared language (`sample` rows, by hash);
 - declared: the language of the markup or of the metadata, trusted to a degree
   that is counted, over all documents, from its agreement with the text;
 - suffix: the address suffix, as counts by (suffix, language) over all documents;
@@ -75,9 +75,13 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, sample: int = 4000, least: int = 5) -> TextModel:
-    """docs: id, text, declared.  Fits on at most `sample` rows."""
+    """docs: id, text, declared.  Fits on about `sample` rows, those whose hash falls under that share of all.
+
+    No row is moved or sorted for it, so the sample costs the same at any size.
+    """
     rows = docs.filter(F.col("declared").isNotNull() & F.col("text").isNotNull())
-    chosen = rows.select("declared", "text", F.xxhash64("id", "text").alias("_h")).orderBy("_h").limit(sample)
+    n, span = rows.count(), 1 << 40
+    chosen = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < F.lit(min(span, span * sample // max(1, n))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -93,7 +97,7 @@ def fit_text(docs: DataFrame, sample: int = 4000, least: int = 5) -> TextModel:
                 [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], n[lang]))], ["declared", "at", "n"]
             )
 
-    got = chosen.mapInArrow(count, "declared string, at long, n long").groupBy("declared", "at").agg(F.sum("n").alias("n")).toPandas()
+    got = chosen.select("declared", "text").mapInArrow(count, "declared string, at long, n long").groupBy("declared", "at").agg(F.sum("n").alias("n")).toPandas()
     seen = got[got["at"] < 0].set_index("declared")["n"]
     languages = sorted(x for x, n in seen.items() if n >= min(least, max(1, seen.max())))
     counts = np.zeros((len(languages), 1 << BITS))
