@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, block: int = BLOCK,
     bits = bloom_bits(found, "suffix", log2_bits)
     drop_written(found)
     around = written(surroundings(docs, bits, log2_bits, words, block), "op6-surroundings")
-    group = around.groupBy("suffix", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("first", "doc_id").alias("_f"))
+    group = around.groupBy("suffix", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("first", "doc_id").alias("_f"), F.max_by("first", "doc_id").alias("_g"))
     group = written(group, "op6-groups")
     # Suffixes with more than one surrounding are compared window by window.
     mixed = group.groupBy("suffix").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.min("lo").alias("c"), F.max("hi").alias("d"))
@@ -207,8 +207,9 @@ def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, block: int = BLOCK,
     other = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
     at_once = both.filter("lo < hi").select("doc_id", F.col("first").alias("s"), (F.col("first") + n - 1 + words).alias("e"), other.alias("o"))
     alone = both.filter("lo = hi").join(mixed, "suffix", "left_semi")
-    # One stand-in for each shared surrounding, all rows of those in one document.
-    stand = both.filter("lo < hi").join(mixed, "suffix", "left_semi").filter("doc_id = lo and first = _f")
+    # Two stand-ins of different documents for each shared surrounding, so that any row meets another
+    # document; all rows of those in one document.
+    stand = both.filter("lo < hi").join(mixed, "suffix", "left_semi").filter("doc_id = lo and first = _f or doc_id = hi and first = _g")
     wins = written(windows_of(alone.select("windows", "first", "doc_id").union(stand.select("windows", "first", "doc_id"))), "op6-windows")
     drop = wins.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     other = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))

@@ -249,6 +249,23 @@ def test_op6_repeats(docs, rows, empty):
     assert sparse_suffixes.repeated_spans(empty).count() == 0
 
 
+def test_op6_a_quote_within_a_document_of_the_shared_passage(spark, tmp_path):
+    rng = random.Random(13)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    rows = []
+    for i in range(10):  # the quoting document has the smaller id, then the greater one
+        shared = [word() for _ in range(200)]
+        pad = lambda: [word() for _ in range(40)]
+        at = rng.randrange(20, 120)
+        quoting, plain = [*pad(), *shared, *pad(), *shared[at : at + 60], *pad()], [*pad(), *shared, *pad()]
+        rows += [(10 * i + (i % 2), " ".join(quoting)), (10 * i + 1 - (i % 2), " ".join(plain))]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in sparse_suffixes.repeated_spans(spark.read.parquet(path)).collect())
+    want = [(10 * i + (i % 2), *s) for i in range(10) for s in ((40, 240), (280, 340))] + [(10 * i + 1 - (i % 2), 40, 240) for i in range(10)]
+    assert got == sorted(want)
+
+
 def test_op6_minimisers_are_shared():
     rng = np.random.default_rng(0)
     b = rng.integers(0, 1 << 62, 500).astype(np.uint64)
