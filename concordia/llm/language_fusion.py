@@ -2,8 +2,8 @@
 
 The posterior of a language is proportional to
     P(text | language) ^ damping * P(declared | language) * P(suffix | language) * P(language | host)
-- text: naive Bayes on hashed byte trigrams, fitted on a bounded sample of
-  documents with a declared language (`sample` rows, by hash);
+- text: naive Bayes on hashed byte trigrams, fitted on a bounded sample of the
+  documents of every declared language (`sample` rows of each, by hash);
 - declared: the language of the markup or of the metadata, trusted to a degree
   that is counted, over all documents, from its agreement with the text;
 - suffix: the address suffix, as counts by (suffix, language) over all documents;
@@ -15,9 +15,9 @@ Counts are grouped aggregations over all rows; only tables with one row per
 the driver.  Host priors stay a table and are joined.
 
 Cases: null or empty text, or text without letters, has no text evidence and is
-rejected; null declared language, suffix or host say nothing; languages with
-fewer than `least` sampled documents are not modelled; an empty table, or one
-without any declared language, gives null languages and rejects all.
+rejected; null declared language, suffix or host say nothing; every declared
+language is modelled, unless none of its texts has letters; an empty table, or
+one without any declared language, gives null languages and rejects all.
 """
 
 from __future__ import annotations
@@ -74,14 +74,17 @@ class TextModel:
         return self.logp[:, t].sum(axis=1, dtype=np.float64) if len(t) else None
 
 
-def fit_text(docs: DataFrame, sample: int = 4000, least: int = 5) -> TextModel:
-    """docs: id, text, declared.  Fits on about `sample` rows, those whose hash falls under that share of all.
+def fit_text(docs: DataFrame, sample: int = 4000, least: int = 1) -> TextModel:
+    """docs: id, text, declared.  Fits on about `sample` rows of each declared language, those whose hash falls under that share.
 
-    No row is moved or sorted for it, so the sample costs the same at any size.
+    No row is moved or sorted for it, and a language with `sample` rows or fewer gives all of them, so none is
+    lost however small its share; those with fewer than `least` rows are left out.
     """
     rows = docs.filter(F.col("declared").isNotNull() & F.col("text").isNotNull())
-    n, span = rows.count(), 1 << 40
-    chosen = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < F.lit(min(span, span * sample // max(1, n))))
+    sizes, span = rows.groupBy("declared").count(), 1 << 40  # a row per language
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")) * F.lit(float(span))
+    sizes = sizes.select(F.col("declared").alias("_of"), share.alias("_share"))
+    chosen = rows.join(F.broadcast(sizes), F.col("declared") == F.col("_of")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < F.col("_share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -99,7 +102,8 @@ def fit_text(docs: DataFrame, sample: int = 4000, least: int = 5) -> TextModel:
 
     got = chosen.select("declared", "text").mapInArrow(count, "declared string, at long, n long").groupBy("declared", "at").agg(F.sum("n").alias("n")).toPandas()
     seen = got[got["at"] < 0].set_index("declared")["n"]
-    languages = sorted(x for x, n in seen.items() if n >= min(least, max(1, seen.max())))
+    lettered = set(got[got["at"] >= 0]["declared"])
+    languages = sorted(x for x, n in seen.items() if n >= min(least, max(1, seen.max())) and x in lettered)
     counts = np.zeros((len(languages), 1 << BITS))
     for i, lang in enumerate(languages):
         part = got[(got["declared"] == lang) & (got["at"] >= 0)]
@@ -186,8 +190,7 @@ def fit(docs: DataFrame, sample: int = 4000, damping: float = 0.2) -> tuple[Fusi
         return Fusion(model, {}, {}, damping), None
     counts = text_labels(docs, model).groupBy("host", "suffix", "declared", "said").agg(F.sum("n").alias("n"))
     counts = written(counts, "op2-counts")
-    known = counts.filter(F.col("declared").isin(model.languages))
-    fused = Fusion(model, table_of(known, "declared", model.languages), table_of(counts, "suffix", model.languages), damping)
+    fused = Fusion(model, table_of(counts, "declared", model.languages), table_of(counts, "suffix", model.languages), damping)
     return fused, written(host_priors(counts, model.languages), "op2-priors")
 
 

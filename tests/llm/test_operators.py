@@ -80,6 +80,19 @@ def test_op2_languages(spark, sf, docs, rows, empty):
     assert language_fusion.keep_identified(empty).count() == 0
 
 
+def test_op2_rare_languages_are_modelled(spark, tmp_path):
+    rng = random.Random(17)
+    stock = {k: ["".join(rng.choice(abc) for _ in range(rng.randrange(3, 9))) for _ in range(60)] for k, abc in (("aa", "aeiounrst"), ("bb", "aeioulmdk"), ("cc", "уаеопрст"))}
+    text = lambda k: " ".join(rng.choice(stock[k]) for _ in range(40))
+    rows = [(i, text(k), k, "h") for i, k in enumerate(["aa"] * 600 + ["bb"] * 300 + ["cc"] * 2)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(path)
+    d = language_fusion.of_documents(spark.read.parquet(path))
+    assert language_fusion.fit_text(d, 50).languages == ["aa", "bb", "cc"]
+    got = language_fusion.classify(d, sample=50).collect()
+    assert all(r.language == rows[r.id][2] and r.kept for r in got)
+
+
 def test_op2_pages_say_where_they_are_from(spark, sf):
     d = language_fusion.of_pages(spark.read.parquet(f"{sf}/pages.parquet"))
     for r in d.select("id", "declared", "host", "suffix", "_row.url", "_row.html").collect():
