@@ -10,6 +10,10 @@ The posterior of a language is proportional to
 - host: counts over all documents, smoothed towards the host's suffix, and that
   towards the whole corpus.
 
+Against the languages stands one more hypothesis, that the text is in none of
+them: its letters come as often as in the nearest language, but without the
+order of one (`TextModel.other`).  Where it wins, the document is rejected.
+
 Counts are grouped aggregations over all rows; only tables with one row per
 (language, trigram bucket), (language, language) or (suffix, language) reach
 the driver.  Host priors stay a table and are joined.
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import texts, written
 
 BITS = 16
+OTHER = 0.02  # prior of a text in none of the languages
 
 
 def declared_in_markup(html: Column) -> Column:
@@ -49,24 +54,52 @@ def suffix_of(host: Column) -> Column:
     return F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit(""))
 
 
-def trigrams(text: bytes) -> np.ndarray:
-    """Buckets of the byte trigrams of the lower-cased text; digits and ASCII marks count as one blank."""
+def letters(text: bytes) -> np.ndarray:
+    """Bytes of the lower-cased text; digits and ASCII marks count as one blank."""
     b = np.frombuffer(text.lower(), dtype=np.uint8)
     b = np.where(((b >= 97) & (b <= 122)) | (b >= 128), b, 32).astype(np.uint32)
-    b = b[(b != 32) | (np.concatenate([[32], b[:-1]]) != 32)] if len(b) else b
+    return b[(b != 32) | (np.concatenate([[32], b[:-1]]) != 32)] if len(b) else b
+
+
+def buckets(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = (a << np.uint32(16)) | (b << np.uint32(8)) | c
+    return ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
+
+
+def trigrams(text: bytes) -> np.ndarray:
+    """Buckets of the byte trigrams of letters()."""
+    b = letters(text)
     if len(b) < 3:
         return np.zeros(0, dtype=np.int64)
-    h = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
+    return buckets(b[:-2], b[1:-1], b[2:])
+
+
+def unordered(letter_counts: np.ndarray) -> np.ndarray:
+    """P(bucket) of letters that come by their frequency alone; a tenth goes to all buckets alike."""
+    abc = np.array([32, *range(97, 123), *range(128, 256)], dtype=np.uint32)
+    p = letter_counts[abc] / max(1, letter_counts[abc].sum())
+    a, b, c = np.meshgrid(abc, abc, abc, indexing="ij")
+    every = np.bincount(buckets(a, b, c).ravel(), (p[:, None, None] * p[:, None] * p).ravel(), 1 << BITS)
+    return 0.9 * every + 0.1 / (1 << BITS)
 
 
 class TextModel:
-    """log P(trigram | language) with add-alpha smoothing."""
+    """log P(trigram | language), smoothed towards the letters of the language without their order (`base`).
 
-    def __init__(self, languages: Sequence[str], counts: np.ndarray, alpha: float = 0.5):
+    A trigram that a language has not shown is thus less likely in it than in no
+    language, and one of which little text is known is never far from its base.
+    """
+
+    def __init__(self, languages: Sequence[str], counts: np.ndarray, letter_counts: np.ndarray, alpha: float = 0.5):
         self.languages = list(languages)
-        smooth = counts + alpha
-        self.logp = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32) if len(languages) else np.zeros((0, 1 << BITS), np.float32)
+        none, mass = np.zeros((0, 1 << BITS)), alpha * (1 << BITS)
+        base = np.stack([unordered(c) for c in letter_counts]) if len(languages) else none
+        smooth = (counts + mass * base) / (counts.sum(axis=1, keepdims=True) + mass) if len(languages) else none
+        self.logp, self.base = np.log(smooth).astype(np.float32), np.log(base).astype(np.float32)
+
+    def other(self, text: bytes) -> float:
+        """Log likelihood of the text in none of the languages."""
+        return float(self.base[:, trigrams(text)].sum(axis=1, dtype=np.float64).max())
 
     def score(self, text: bytes) -> np.ndarray | None:
         """Log likelihood per language, None without evidence."""
@@ -87,12 +120,14 @@ def fit_text(docs: DataFrame, sample: int = 4000, least: int = 1) -> TextModel:
     chosen = rows.join(F.broadcast(sizes), F.col("declared") == F.col("_of")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < F.col("_share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = (1 << BITS) + 256  # trigram buckets, then letters
         total: dict[str, np.ndarray] = {}
         n: dict[str, int] = {}
         for b in batches:
             for lang, x in zip(b.column("declared").to_pylist(), texts(b), strict=True):
-                c = total.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
-                c += np.bincount(trigrams(x), minlength=1 << BITS)
+                c = total.setdefault(lang, np.zeros(width, dtype=np.int64))
+                c[: 1 << BITS] += np.bincount(trigrams(x), minlength=1 << BITS)
+                c[1 << BITS :] += np.bincount(letters(x).astype(np.int64), minlength=256)
                 n[lang] = n.get(lang, 0) + 1
         for lang, c in total.items():
             at = np.flatnonzero(c)
@@ -102,17 +137,17 @@ def fit_text(docs: DataFrame, sample: int = 4000, least: int = 1) -> TextModel:
 
     got = chosen.select("declared", "text").mapInArrow(count, "declared string, at long, n long").groupBy("declared", "at").agg(F.sum("n").alias("n")).toPandas()
     seen = got[got["at"] < 0].set_index("declared")["n"]
-    lettered = set(got[got["at"] >= 0]["declared"])
+    lettered = set(got[(got["at"] >= 0) & (got["at"] < 1 << BITS)]["declared"])
     languages = sorted(x for x, n in seen.items() if n >= min(least, max(1, seen.max())) and x in lettered)
-    counts = np.zeros((len(languages), 1 << BITS))
+    counts = np.zeros((len(languages), (1 << BITS) + 256))
     for i, lang in enumerate(languages):
         part = got[(got["declared"] == lang) & (got["at"] >= 0)]
         counts[i, part["at"].to_numpy(dtype=np.int64)] = part["n"].to_numpy(dtype=np.float64)
-    return TextModel(languages, counts)
+    return TextModel(languages, counts[:, : 1 << BITS], counts[:, 1 << BITS :])
 
 
 def text_labels(docs: DataFrame, model: TextModel) -> DataFrame:
-    """host, suffix, declared, said (most likely by text alone, null without evidence), n: counts per task, to be summed."""
+    """host, suffix, declared, said (most likely by text alone, null without evidence or in no language), n: counts per task, to be summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +156,7 @@ def text_labels(docs: DataFrame, model: TextModel) -> DataFrame:
             said = []
             for x in texts(b):
                 s = model.score(x)
-                said.append(None if s is None or not len(s) else model.languages[int(s.argmax())])
+                said.append(None if s is None or not len(s) or s.max() < model.other(x) else model.languages[int(s.argmax())])
             seen = Counter(zip(*[b.column(c).to_pylist() for c in ("host", "suffix", "declared")], said, strict=True))
             cols = [*zip(*seen, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -169,18 +204,23 @@ class Fusion:
         self.agree = {d: np.log((c + 0.5) / (total + 0.5 * (len(agree) + 1))) for d, c in agree.items()}
         share = sum(suffix.values(), np.zeros(len(self.languages)))
         self.suffix = {d: np.log((c + 1.0) / (share + 1.0 * (len(suffix) + 1))) for d, c in suffix.items()}
+        # In no language: what is declared and where it is from say as much as over all texts.
+        self.any_agree = {d: np.log((c.sum() + 0.5) / (total.sum() + 0.5 * (len(agree) + 1))) for d, c in agree.items()}
+        self.any_suffix = {d: np.log((c.sum() + 1.0) / (share.sum() + 1.0 * (len(suffix) + 1))) for d, c in suffix.items()}
         self.flat = np.full(len(self.languages), 1.0 / k)
 
     def posterior(self, text: bytes, declared: str | None, suffix: str | None, prior: Sequence[float] | None) -> tuple[np.ndarray | None, int | None]:
-        """Posterior by language and the language of the text alone."""
+        """Posterior by language and the language of the text alone; the posteriors leave the rest to no language."""
         s = self.model.score(text) if self.languages else None
         if s is None:
             return None, None
         said = int(s.argmax())
         z = s * self.damping
         z = z + self.agree.get(declared, 0.0) + self.suffix.get(suffix, 0.0) + np.log(np.asarray(prior) if prior is not None else self.flat)
-        z = np.exp(z - z.max())
-        return z / z.sum(), said
+        none = self.model.other(text) * self.damping + self.any_agree.get(declared, 0.0) + self.any_suffix.get(suffix, 0.0) + np.log(OTHER)
+        top = max(z.max(), none)
+        z = np.exp(z - top)
+        return z / (z.sum() + np.exp(none - top)), said
 
 
 def fit(docs: DataFrame, sample: int = 4000, damping: float = 0.2) -> tuple[Fusion, DataFrame | None]:

@@ -93,6 +93,22 @@ def test_op2_rare_languages_are_modelled(spark, tmp_path):
     assert all(r.language == rows[r.id][2] and r.kept for r in got)
 
 
+def test_op2_texts_in_no_known_language_are_rejected(spark, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    strange = [
+        "Η γλώσσα είναι το σύστημα με το οποίο οι άνθρωποι επικοινωνούν μεταξύ τους και εκφράζουν τις σκέψεις τους",
+        "Suomen kieli on uralilainen kieli jota puhutaan pääasiassa Suomessa ja sen lähialueilla sekä ulkomailla",
+        "xq zv kjw qpf vbx zzq wkj pfq xvz jqk bxw qzp fvk jxq wzv kqp xbj vzq pwf qxk jvz",
+    ]
+    more = spark.createDataFrame([(10**9 + i, x, None, None) for i, x in enumerate(strange)], "doc_id long, text string, lang string, source string")
+    path = str(tmp_path / "d.parquet")
+    table.unionByName(more).write.parquet(path)
+    got = {r.id: r for r in language_fusion.classify(language_fusion.of_documents(spark.read.parquet(path))).collect()}
+    assert not any(got[10**9 + i].kept for i in range(3))
+    clean = [r.doc_id for r in table.collect() if r.lang and len(re.findall("[a-zA-Z]", r.text or "")) > 0.7 * len(r.text or "x")]
+    assert sum(got[i].kept for i in clean) >= 0.99 * len(clean)
+
+
 def test_op2_pages_say_where_they_are_from(spark, sf):
     d = language_fusion.of_pages(spark.read.parquet(f"{sf}/pages.parquet"))
     for r in d.select("id", "declared", "host", "suffix", "_row.url", "_row.html").collect():
