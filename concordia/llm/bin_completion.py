@@ -6,7 +6,8 @@ rows however many documents there are: around the largest piece left it
 enumerates undominated fillings of the gap, prunes fillings that waste more
 than the best one known, and repeats the chosen filling as often as its lengths
 last.  Best-fit solutions are the incumbents; where they miss the lower bound,
-branch and bound looks for a better order within a node budget.
+branch and bound over fillings and their repeats looks for a better packing
+within a node budget that is the same for any number of pieces.
 
 Pieces then take their places by their rank among those of their length, which
 DataFrame work finds; the pattern table is bounded by the histogram.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -177,13 +179,14 @@ class _Left:
         self.n[length] -= k
 
 
-def completions(left: _Left, gap: int, waste: int, nodes: int = 400) -> list[tuple[int, list[int]]]:
+def completions(left: _Left, gap: int, waste: int, nodes: int = 400, every: bool = False) -> list[tuple[int, list[int]]]:
     """Undominated fillings of a gap, best first: (waste, lengths in descending order).
 
     A filling that another one could replace piece by larger piece without
     overflow is dominated, so at every level only the largest piece that fits
     and the pieces that can still fill exactly are worth a try; branches that
-    cannot beat the best waste are pruned.
+    cannot beat the best waste are pruned.  With `every`, all fillings within
+    `waste` count, as far as the nodes go.
     """
     best: list[tuple[int, list[int]]] = []
     bound, spent = waste, nodes
@@ -196,12 +199,12 @@ def completions(left: _Left, gap: int, waste: int, nodes: int = 400) -> list[tup
             x = left.at_most(x - 1)
         if not x:
             if room <= bound or not best:
-                bound = min(bound, room)
+                bound = bound if every else min(bound, room)
                 best.append((room, chosen.copy()))
-            return room == 0
+            return room == 0 and not every
         tries = 0
-        while x and spent > 0 and tries < 8:
-            if room - x and x * 8 < room and tries:
+        while x and spent > 0 and (every or tries < 8):
+            if room - x and x * 8 < room and tries and not every:
                 break
             chosen.append(x)
             if go(room - x, x, chosen):
@@ -235,21 +238,21 @@ def _fill(counts: Sequence[int], capacity: int, choose: Callable[[_Left, int], l
     return out
 
 
-def best_fit(counts: Sequence[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """The largest piece, then again and again the largest that still fits."""
+def _greedy(left: _Left, gap: int) -> list[int]:
+    add: list[int] = []
+    while x := left.at_most(gap):
+        while x and add.count(x) >= left.n[x]:
+            x = left.at_most(x - 1)
+        if not x:
+            break
+        add.append(x)
+        gap -= x
+    return add
 
-    def choose(left: _Left, gap: int) -> list[int]:
-        add: list[int] = []
-        while x := left.at_most(gap):
-            while x and add.count(x) >= left.n[x]:
-                x = left.at_most(x - 1)
-            if not x:
-                break
-            add.append(x)
-            gap -= x
-        return add
 
-    return _fill(counts, capacity, choose)
+def best_fit(counts: Sequence[int], capacity: int) -> list[tuple[int, list[int]]]:
+    """The largest piece, then again and again the largest that still fits."""
+    return _fill(counts, capacity, _greedy)
 
 
 def bins(patterns: Sequence[tuple[int, list[int]]]) -> int:
@@ -263,44 +266,66 @@ def pack(counts: Sequence[int], capacity: int = CAPACITY, nodes: int = 20_000) -
     if bins(best) > goal:
         got = _fill(counts, capacity, lambda left, gap: (completions(left, gap, gap) or [(gap, [])])[0][1])
         best = min(best, got, key=bins)
-    if bins(best) > goal and sum(counts) <= 2000:
+    if bins(best) > goal:
         best = _branch(counts, capacity, goal, best, nodes)
     return best
 
 
 def _branch(counts: Sequence[int], capacity: int, goal: int, best: list, nodes: int) -> list[tuple[int, list[int]]]:
-    """Depth-first over the fillings of every bin, largest piece first, within the waste that a better packing allows."""
+    """Depth-first over fillings and how often each is repeated, largest piece first, within the waste that a better packing allows.
+
+    A filling that is repeated as often as it can be uses up a length, so a
+    descent takes at most `capacity` nodes however many pieces there are.
+    """
     left, spent, volume = _Left(counts), nodes, sum(i * c for i, c in enumerate(counts))
 
-    def go(made: list[tuple[int, list[int]]], waste: int) -> bool:
-        nonlocal best, spent
-        spent -= 1
-        big = left.at_most(capacity)
-        if not big:
-            if len(made) < bins(best):
-                best = made.copy()
-            return bins(best) == goal
-        if spent < 0:
-            return True
-        left.take(big, 1)
-        for lost, add in completions(left, capacity - big, capacity, 60):
-            if waste + lost > (bins(best) - 1) * capacity - volume:  # no better than the best one
-                continue
-            for x in add:
-                left.take(x, 1)
-            left.down = list(range(len(left.n)))
-            made.append((1, [big, *add]))
-            if go(made, waste + lost):
-                return True
-            made.pop()
-            for x in add:
-                left.take(x, -1)
+    def take(lengths: list[int], k: int) -> None:
+        for x in lengths:
+            left.take(x, k)
+        if k < 0:
             left.down = list(range(len(left.n)))
-        left.take(big, -1)
-        left.down = list(range(len(left.n)))
-        return False
 
-    go([], 0)
+    def options() -> Iterator[tuple[int, int, list[int]]]:
+        big = left.at_most(capacity)
+        take([big], 1)
+        fillings = completions(left, capacity - big, (least - 1) * capacity - volume - waste, 200, True)
+        if not fillings:
+            add = _greedy(left, capacity - big)
+            fillings = [(capacity - big - sum(add), add)]
+        take([big], -1)
+        for lost, add in fillings:
+            lengths = [big, *add]
+            times = min(left.n[x] // k for x, k in Counter(lengths).items())
+            while times:
+                yield times, lost, lengths
+                times //= 2
+
+    made: list[tuple[int, list[int]]] = []
+    size, waste, least = 0, 0, bins(best)
+    stack = [options()] if left.at_most(capacity) else []
+    while stack and spent > 0:
+        step = next(stack[-1], None)
+        if step:
+            times, lost, lengths = step
+            if waste + times * lost > (least - 1) * capacity - volume:  # no better than the best one
+                continue
+            spent -= 1
+            take(lengths, times)
+            made.append((times, lengths))
+            size, waste = size + times, waste + times * lost
+            if left.at_most(capacity):
+                stack.append(options())
+                continue
+            if size < least:
+                best, least = made.copy(), size
+                if least <= goal:
+                    break
+        else:
+            stack.pop()
+        if made:
+            times, lengths = made.pop()
+            take(lengths, -times)
+            size, waste = size - times, waste - times * (capacity - sum(lengths))
     return best
 
 

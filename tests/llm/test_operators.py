@@ -463,3 +463,17 @@ def test_op10_search_beats_best_fit():
         used = Counter(x for t, p in patterns for x in p for _ in range(t))
         assert all(used[x] == c for x, c in enumerate(counts)) and all(sum(p) <= 100 for _, p in patterns)
         assert bin_completion.bins(patterns) >= bin_completion.lower_bound(counts, 100)
+
+
+def test_op10_search_has_no_limit_of_pieces():
+    # 500 times 15 lengths that fill five bins of 100: best fit and least-waste fillings need 2,584 bins.
+    some = {27: 2, 29: 1, 30: 2, 31: 2, 32: 1, 33: 2, 34: 1, 38: 1, 40: 1, 42: 1, 43: 1}
+    counts = [500 * some.get(x, 0) for x in range(101)]
+    patterns = bin_completion.pack(counts, 100)
+    used = Counter()
+    for t, p in patterns:
+        assert sum(p) <= 100
+        for x in p:
+            used[x] += t
+    assert all(used[x] == c for x, c in enumerate(counts))
+    assert bin_completion.bins(patterns) == 2500 == bin_completion.lower_bound(counts, 100)
