@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one if unset."""
+    """The folder all executors share, spark.checkpoint.dir; a local one of our own only where the executors are this process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="concordia-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -58,6 +60,29 @@ def literal_table(spark: SparkSession, rows: Iterable[dict], schema: str) -> Dat
     return spark.range(1).select(F.inline(arr))
 
 
+#: Rows of two or three narrow columns that may be sent to every executor: some 100 MB.
+SENT = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: Sequence[Column], once: bool = False) -> DataFrame:
+    """docs less the rows whose keys are in gone (a written table, its columns in the order of keys); with once, of rows with equal keys one stays.
+
+    A gone list of SENT rows at most is sent to the texts; a longer one makes Spark shuffle both.
+    """
+    names = [f"_k{i}{uuid.uuid4().hex[:8]}" for i in range(len(keys))]
+    right = gone.toDF(*[f"{n}g" for n in names])
+    if gone.count() <= SENT:
+        right = F.broadcast(right)
+    on = None
+    for n in names:
+        hit = F.col(n) == F.col(f"{n}g")
+        on = hit if on is None else on & hit
+    out = docs.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)]).join(right, on, "left_anti")
+    if once:
+        out = out.dropDuplicates(names)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], value: Column, out: str, buckets: int = 256
 ) -> DataFrame:
@@ -115,10 +140,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+LONG = 64  # bytes; longer words are hashed one by one
+SLAB = 1 << 20
+
+
+def word_hashes(parts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all parts, one after the other, and where each part begins (with the end at last).
+
+    Words are cut and hashed eight bytes at a time for all parts at once.
+    """
     from xxhash import xxh64_intdigest
 
-    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    b = np.frombuffer(b"\n".join(parts) + b"\n" + bytes(8), dtype=np.uint8)
+    inner = ~SPACES[b]
+    inner[-8:] = False
+    edge = np.flatnonzero(inner[1:] != inner[:-1]) + 1
+    if inner[0]:
+        edge = np.concatenate([[0], edge])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.lib.stride_tricks.as_strided(b, shape=(len(b) - 7, 8), strides=(1, 1))
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.flatnonzero(size <= LONG)
+    for off in range(0, LONG, 8):
+        at = at[size[at] > off]
+        if not len(at):
+            break
+        x = np.ascontiguousarray(eight[start[at] + off]).view("<u8").ravel()
+        short = np.minimum(size[at] - off, 8).astype(np.uint64) * np.uint64(8)
+        h[at] = mix64(h[at] ^ (x & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - short))))
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxh64_intdigest(b[start[i] : start[i] + size[i]].tobytes())
+    begin = np.cumsum([0, *[len(x) + 1 for x in parts]])
+    return h, np.searchsorted(start, begin)
+
+
+def word_slabs(parts: Sequence[bytes], slab: int = SLAB) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """word_hashes() of so many parts at a time as hold about `slab` bytes, after the index of the first."""
+    i = 0
+    while i < len(parts):
+        j, room = i, slab
+        while j < len(parts) and (j == i or len(parts[j]) <= room):
+            room -= len(parts[j])
+            j += 1
+        yield (i, *word_hashes(parts[i:j]))
+        i = j
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def gram_hashes(w: np.ndarray, k: int) -> np.ndarray:
@@ -132,10 +205,18 @@ def gram_hashes(w: np.ndarray, k: int) -> np.ndarray:
     return mix64(h)
 
 
-def bloom_bits(keys: DataFrame, col: str, log2_bits: int) -> np.ndarray:
-    """A fixed-size Bloom filter (3 probes) of a long column, gathered by bit_or; its size does not grow with the data."""
+MOST_BITS = 27  # 16 MB
+
+
+def bloom_size(n: int) -> int:
+    """log2 of the bits for n keys at about 12 a key, MOST_BITS at most; more keys only let more through."""
+    return min(MOST_BITS, max(16, (12 * n - 1).bit_length()))
+
+
+def bloom_bits(keys: DataFrame, hashed: Column, log2_bits: int) -> np.ndarray:
+    """A Bloom filter (3 probes) of a column of 64-bit hashes, gathered by bit_or; its size is bounded whatever the data."""
     mask = (1 << log2_bits) - 1
-    probes = F.array(*[F.col(col).bitwiseAND(F.lit(mask)) if i == 0 else F.shiftrightunsigned(F.col(col), 21 * i).bitwiseAND(F.lit(mask)) for i in range(3)])
+    probes = F.array(*[F.shiftrightunsigned(hashed, 18 * i).bitwiseAND(F.lit(mask)) for i in range(3)])
     words = (
         keys.select(F.explode(probes).alias("_p"))
         .select((F.shiftright("_p", 6)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(_p & 63 as int))").alias("m"))
@@ -149,11 +230,11 @@ def bloom_bits(keys: DataFrame, col: str, log2_bits: int) -> np.ndarray:
     return bits
 
 
-def bloom_has(bits: np.ndarray, keys: np.ndarray, log2_bits: int) -> np.ndarray:
-    """Which uint64 keys may be in the filter; never misses one that is."""
-    mask = np.uint64((1 << log2_bits) - 1)
-    hit = np.ones(len(keys), dtype=bool)
+def bloom_has(bits: np.ndarray, hashed: np.ndarray, log2_bits: int) -> np.ndarray:
+    """Which hashes may be in the filter; never misses one that is."""
+    mask, h = np.uint64((1 << log2_bits) - 1), hashed.view(np.uint64)
+    hit = np.ones(len(h), dtype=bool)
     for i in range(3):
-        p = (keys >> np.uint64(21 * i)) & mask
+        p = (h >> np.uint64(18 * i)) & mask
         hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return hit

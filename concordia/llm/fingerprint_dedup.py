@@ -87,7 +87,7 @@ def collided(docs: DataFrame, groups: DataFrame, chunk: int = CHUNK, prime: int
     A fixed-size Bloom filter of the groups keeps texts without a partner at
     home; what it lets through by chance goes in the semi join.
     """
-    bits = bloom_bits(groups, "fp_lo", log2_bits)
+    bits = bloom_bits(groups, F.col("fp_lo"), log2_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

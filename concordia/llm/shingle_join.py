@@ -1,58 +1,70 @@
 """Exact n-gram Jaccard self-join by size-banded tiles with hashed bitmap signatures.
 
 A document is the set of its distinct five-word shingles.  Two sets with
-100 * |A & B| >= 80 * |A | B| share one of their first n - ceil(0.8 n) + 1
-shingles in any common order, so a shingle of that prefix and a band of sizes
+100 * |A & B| >= 80 * |A | B| share several of the first shingles of each in
+any common order (`prefix`), so a shingle of that prefix and a band of sizes
 name a tile, and only sets of one tile can link.  Within a tile, the bits in
 which two hashed bitmaps differ bound the overlap from above; what passes is
 decided by exact intersection of the sorted arrays.
 
+Prefix shingles are shuffled once, packed into arrays of 32 bits a shingle and
+64 a set (`shared_tokens`); shingles of one set go no further.  A truncated
+shingle only ever adds candidates.  Tiles with the same sets count once.
+
 Hot groups: equal sets are one node.  Every tile first links its sets to two
-leaders only, and sets already in one component need no more
-comparing, so the tiles of a large group of near copies mostly vanish before
-their pairs are made.
-Tiles that stay large are cut into blocks.  The order puts shingles that many
-documents share last (fixed-size counters over all documents; they steer work,
-not results), so passages that many documents share make no tiles.
-
-Cases: null and empty texts and texts of white space only have n_shingles 0 and
-their own doc_id as component_id; a text of fewer than five words is one
-shingle; equal sets link; repeated rows get a row each; rows that share a
-doc_id share the smallest id of what any of them reaches.
+leaders only, and sets already in one component need no more comparing, so the
+tiles of a large group of near copies mostly vanish before their pairs are
+made.  Tiles that stay large are cut into blocks, and shingles that are hot
+within a task are dealt out by set, leaving witnesses at home.  The order puts
+shingles that many documents share last (fixed-size counters over all
+documents; they steer work, not results), so passages that many documents
+share make few tiles.
+
+Cases: doc_id is of an integer type; null and empty texts and texts of white
+space only have n_shingles 0 and their own doc_id as component_id; a text of
+fewer than five words is one shingle; equal sets link; repeated rows get a row
+each; rows that share a doc_id share the smallest id of what any of them
+reaches; very long texts are read whole, in one worker's memory; other columns
+may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, drop_written, gram_hashes, texts, word_hashes, written
+from .common import bloom_bits, bloom_has, bloom_size, distinct, drop_written, gram_hashes, texts, without, word_slabs, written
 
 WORDS = 5
 NUM, DEN = 80, 100
 FINE = 6  # bits a shingle of the bitmaps that candidate pairs are held against
 NONE = -(1 << 63)  # stands for a null doc_id
+BUCKETS = 1 << 18  # counters of shingles
+STEPS = 4  # sizes are told apart in steps of (DEN / NUM) ** (1 / STEPS)
+
+
+def shingle_sets(parts: Sequence[bytes], k: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles (of the whole sequence, if shorter)."""
+    for _, w, begin in word_slabs([x.lower() for x in parts]):
+        g = gram_hashes(w, k) if len(w) >= k else w[:0]
+        for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            yield distinct(g[s : e - k + 1]) if e - s >= k else gram_hashes(w[s:e], e - s) if e > s else w[:0]
 
 
 def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles (of the whole sequence, if shorter)."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    w = word_hashes(words)
-    return np.unique(gram_hashes(w, min(k, len(w))))
+    return next(shingle_sets([text], k))
 
 
-def set_key(h: np.ndarray) -> tuple[int, int]:
-    from xxhash import xxh128_intdigest
+def set_key(h: np.ndarray, seed: int = 0) -> int:
+    from xxhash import xxh3_64_intdigest
 
-    x = xxh128_intdigest(h.tobytes())
-    hi, lo = x >> 64, x & ((1 << 64) - 1)
-    return hi - (1 << 64) * (hi >> 63), lo - (1 << 64) * (lo >> 63)
+    x = xxh3_64_intdigest(h.tobytes(), seed)
+    return x - (1 << 64) * (x >> 63)
 
 
 def bitmap(h: np.ndarray, per: int = 1) -> bytes:
@@ -71,20 +83,23 @@ def fold_bits(bits: int, size: int, to: int) -> int:
     return bits
 
 
-def may_link(n: int, a: int, size_a: int, m: int, b: int, size_b: int) -> bool:
-    """Whether the bound from above allows 100 * overlap >= 80 * union; the bitmaps differ in no more bits than the sets in shingles."""
-    if n * DEN < NUM * m or m * DEN < NUM * n:
-        return False
-    if size_a != size_b:
-        to = min(size_a, size_b)
-        a, b = fold_bits(a, size_a, to), fold_bits(b, size_b, to)
-    over = (n + m - (a ^ b).bit_count()) // 2
+def overlap_bound(n: int, a: bytes, m: int, b: bytes) -> int:
+    """The most that sets of n and m shingles can share: their bitmaps differ in no more bits than the sets in shingles."""
+    x, y, to = int.from_bytes(a, "little"), int.from_bytes(b, "little"), min(len(a), len(b))
+    return (n + m - (fold_bits(x, len(a), to) ^ fold_bits(y, len(b), to)).bit_count()) // 2
+
+
+def enough(over: int, n: int, m: int) -> bool:
     return DEN * over >= NUM * (n + m - over)
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
-    over = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * over >= NUM * (len(a) + len(b) - over)
+    return enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
+
+
+def size_step(n: int) -> int:
+    """Steps of size; sets that link are STEPS of them apart at most, and so in the same band of STEPS or in neighbours."""
+    return int(np.log(n) / np.log(DEN / NUM) * STEPS + 1e-9)
 
 
 def _ids(b: pa.RecordBatch) -> list[int]:
@@ -96,44 +111,76 @@ def _batch(rows: list[tuple], spec: list[tuple[str, pa.DataType]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, spec, strict=True)], [n for n, _ in spec])
 
 
-def signatures(docs: DataFrame, k: int = WORDS, buckets: int = 1 << 18) -> DataFrame:
-    """doc_id, n, k1, k2, bits (coarse), fine for every document; rows with n = -1 hold shared-shingle counters: k1 bucket, k2 count."""
-    spec = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("fine", pa.binary())]
+# -- signatures and counters ---------------------------------------------------
+
+
+def signatures(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame:
+    """doc_id, t (hash of the text), n, k1 and k2 (keys of the set) of every document; a row with n = -1 holds the shingle counters of a task."""
+    spec = [("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counters", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(buckets, dtype=np.int64)
+        count = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
             rows, seen = [], []
-            for i, x in zip(_ids(b), texts(b), strict=True):
-                h = shingles(x, k)
-                if len(h):
-                    seen.append((h >> np.uint64(40)).astype(np.int64) & (buckets - 1))
-                    rows.append((i, len(h), *set_key(h), bitmap(h), bitmap(h, FINE)))
-                else:
-                    rows.append((i, 0, 0, 0, b"", b""))
-            if seen:
-                count += np.bincount(np.concatenate(seen), minlength=buckets)
+            for i, t, h in zip(_ids(b), b.column("t").to_pylist(), shingle_sets(texts(b), k), strict=True):
+                rows.append((i, t, len(h), set_key(h, seed), set_key(h, seed + 1), None) if len(h) else (i, t, 0, 0, 0, None))
+                seen.append((h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1))
+                if len(seen) > 1000:
+                    count += np.bincount(np.concatenate(seen), minlength=BUCKETS)
+                    seen.clear()
             if rows:
+                count += np.bincount(np.concatenate([*seen, np.zeros(0, np.int64)]), minlength=BUCKETS)
                 yield _batch(rows, spec)
-        at = np.flatnonzero(count)
-        if len(at):
-            yield _batch([(None, -1, int(i), int(count[i]), None, None) for i in at], spec)
+        if count.any():
+            yield _batch([(None, None, -1, 0, 0, _packed_counts(count))], spec)
+
+    narrow = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
+    return narrow.mapInArrow(run, "doc_id long, t long, n long, k1 long, k2 long, counters binary")
+
+
+def _packed_counts(count: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(count.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, fine binary")
 
+def _counts(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
-def shared_levels(counters: DataFrame, buckets: int = 1 << 18) -> np.ndarray:
-    """How far each bucket stands out above the mean, in powers of two."""
-    got = counters.groupBy("k1").agg(F.sum("k2").alias("c")).toPandas()  # `buckets` rows at most
-    count = np.zeros(buckets)
-    count[got["k1"].to_numpy(dtype=np.int64)] = got["c"].to_numpy(dtype=np.float64)
-    over = count / (2 * (count.mean() + 4))
+
+def summed(counters: DataFrame, fan: int = 32) -> np.ndarray:
+    """The sum of all tasks' counters, by a tree of sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for b in batches:
+            for x in b.column("counters").to_pylist():
+                total += _counts(x)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([_packed_counts(total)], pa.binary())], ["counters"])
+
+    d = counters.select("counters")
+    while (n := d.count()) > fan:
+        d = written(d.repartition(-(-n // fan)).mapInArrow(run, "counters binary"), "op8-counters")
+    return sum((_counts(r.counters) for r in d.collect()), np.zeros(BUCKETS, dtype=np.int64))  # `fan` rows at most
+
+
+def shared_levels(count: np.ndarray) -> np.ndarray:
+    """How far each counter stands out above what chance gives it, in powers of two.
+
+    Chance is the median with eight times the usual spread around it; that grows
+    with the root of the data, so a passage stands out at any size once that
+    many documents share it.
+    """
+    mid = float(np.median(count))
+    over = (count - mid) / (8 * (np.sqrt(mid) + 1.5 * float(np.median(np.abs(count - mid))) + 1))
     return np.where(over > 1, np.floor(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.uint8)
 
 
+# -- prefixes and tiles --------------------------------------------------------
+
+
 def shared_at_least(n: int) -> int:
     """How many shingles of its prefix a set of n shingles shares with any partner of its size or more."""
-    return max(1, n // 12)
+    return max(1, n // 24)
 
 
 def prefix(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -146,79 +193,213 @@ def prefix(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     n = len(h)
     p = min(n, n - -(-NUM * n // DEN) + shared_at_least(n))
     level = levels[(h >> np.uint64(40)).astype(np.int64) & (len(levels) - 1)]
+    if not level.any():
+        return h[:p]
     return h[np.lexsort((h, level))[:p]]
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray, k: int = WORDS) -> DataFrame:
-    """token, k1, k2, n; a set seen before in the same task is left out, as its rows are there already."""
+HOT = 256  # sets of a shingle in one flush, above which they are dealt out
+
+
+def packed_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, k: int = WORDS, seed: int = 0, flush: int = 1 << 20) -> DataFrame:
+    """bucket, home, t, k, q: arrays of shingles (bits within the bucket), set keys and size steps.
+
+    Rows with home hold what belongs to the bucket; the others hold sets of
+    shingles that are shared for certain (t has the bucket's bits as well) and
+    are dealt out anywhere.  Two sets of each such shingle and size step stay at
+    home, so whatever has a partner among all sets has one there.
+    """
+    spec = [("bucket", pa.int32()), ("home", pa.bool_()), ("t", pa.binary()), ("k", pa.binary()), ("q", pa.binary())]
+
+    def pack(tok: np.ndarray, key: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        t = ((tok % np.uint64(buckets)) << np.uint64(32)) | (tok >> np.uint64(32))
+        order = np.argsort(t, kind="stable")
+        t, key, q = t[order], key[order], q[order]
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        size = np.diff(np.append(np.flatnonzero(new), len(t)))
+        away = np.repeat(size > HOT, size)
+        if away.any():
+            at = np.flatnonzero(away)
+            at = at[np.lexsort((key[at], q[at], t[at]))]
+            same = lambda x: np.concatenate([[False], x[at][1:] == x[at][:-1]])
+            group = same(t) & same(q)
+            again = group & same(key)
+            at, group = at[~again], group[~again]
+            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(group, 0, np.arange(len(at))))
+            away[at[rank < 2]] = False
+            dealt = at[rank >= 2]
+        else:
+            dealt = np.zeros(0, dtype=np.int64)
+        rows = []
+        home = np.flatnonzero(~away)
+        b = (t[home] >> np.uint64(32)).astype(np.int64)
+        for s, e in _runs(b):
+            w = home[s:e]
+            rows.append((int(b[s]), True, t[w].astype(np.uint32).tobytes(), key[w].tobytes(), q[w].tobytes()))
+        if len(dealt):
+            b = (key[dealt].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            b, dealt = b[order], dealt[order]
+            for s, e in _runs(b):
+                w = dealt[s:e]
+                rows.append((int(b[s]), False, t[w].tobytes(), key[w].tobytes(), q[w].tobytes()))
+        return _batch(rows, spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
+        tok, key, q, n = [], [], [], 0
         for b in batches:
-            tok, n, k1, k2 = [], [], [], []
-            for x in texts(b):
-                h = shingles(x, k)
-                if not len(h) or (key := set_key(h)) in seen:
+            for h in shingle_sets(texts(b), k):
+                if not len(h) or (x := set_key(h, seed)) in seen:  # its rows are there already
                     continue
                 if len(seen) < 1 << 20:
-                    seen.add(key)
+                    seen.add(x)
                 t = prefix(h, levels)
                 tok.append(t)
-                n.append(np.full(len(t), len(h)))
-                k1.append(np.full(len(t), key[0]))
-                k2.append(np.full(len(t), key[1]))
-            if tok:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tok).view(np.int64)), *[pa.array(np.concatenate(c)) for c in (k1, k2, n)]], ["token", "k1", "k2", "n"]
-                )
+                key.append(np.full(len(t), x, dtype=np.int64))
+                q.append(np.full(len(t), size_step(len(h)), dtype=np.uint8))
+                n += len(t)
+                if n >= flush:
+                    yield pack(*map(np.concatenate, (tok, key, q)))
+                    tok, key, q, n = [], [], [], 0
+        if n:
+            yield pack(*map(np.concatenate, (tok, key, q)))
 
-    return docs.select("text").mapInArrow(run, "token long, k1 long, k2 long, n long")
+    return docs.select("text").mapInArrow(run, "bucket int, home boolean, t binary, k binary, q binary")
 
 
-PAIR = ("a1", "a2", "b1", "b2")
+def _runs(b: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every run of equal values."""
+    if not len(b):
+        return []
+    edge = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]]).tolist()
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
+
+def shared_tokens(packed: DataFrame) -> DataFrame:
+    """token, k1, q of the shingles that two or more sets of like size have in their prefixes; hot ones may come twice."""
+    spec = ["token", "k1", "q"]
+
+    def rows(token: np.ndarray, key: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(q.astype(np.int32))], spec)
+
+    def close(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
+        t, key, q = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts, strict=True), (np.uint32, np.int64, np.uint8), strict=True))
+        order = np.argsort(t)
+        s = t[order]
+        same = s[1:] == s[:-1]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        order = order[np.lexsort((key[order], q[order], t[order]))]
+        t, key, q = t[order], key[order], q[order].astype(np.int32)
+        fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]) if len(t) else np.zeros(0, dtype=bool)
+        t, key, q = t[fresh], key[fresh], q[fresh]
+        near = (t[1:] == t[:-1]) & (q[1:] - q[:-1] <= STEPS)
+        ok = np.concatenate([[False], near]) | np.concatenate([near, [False]]) if len(t) else fresh
+        if ok.any():
+            return rows((np.uint64(bucket) << np.uint64(32)) | t[ok].astype(np.uint64), key[ok], q[ok])
+        return None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for bucket, home, t, key, q in zip(*[b.column(c).to_pylist() for c in ("bucket", "home", "t", "k", "q")], strict=True):
+                if not home:
+                    yield rows(np.frombuffer(t, np.uint64), np.frombuffer(key, np.int64), np.frombuffer(q, np.uint8))
+                    continue
+                if bucket != now and parts:
+                    if out := close(now, parts):
+                        yield out
+                    parts = []
+                now = bucket
+                parts.append((t, key, q))
+        if parts and (out := close(now, parts)):
+            yield out
 
-def _side(df: DataFrame, s: str, *rest: str) -> DataFrame:
-    return df.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), *[F.col(c).alias(f"{s}_{c}") for c in rest])
+    ordered = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(run, "token long, k1 long, q int")
 
 
-def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that the fine bitmaps allow."""
+def least_shared(q: Column) -> Column:
+    """A set with fewer shared shingles than any partner of 0.8 times its size or more must share has no partner."""
+    n = F.pow(F.lit(DEN / NUM), q / STEPS)
+    return F.greatest(F.lit(1), F.floor((NUM / DEN * n - 1e-6) / 24))
+
+
+def distinct_tiles(found: DataFrame) -> DataFrame:
+    """found without sets that cannot have a partner, and with one shingle only of those that the same sets share.
+
+    Which sets share a shingle is told by their number and two sums of hashes of their keys.
+    """
+    many = found.groupBy("k1").agg(F.count("*").alias("c"), F.max("q").alias("q")).filter(F.col("c") >= least_shared(F.col("q"))).select("k1")
+    left = written(found.join(many, "k1", "left_semi"), "op8-left")
+    hashes = [F.sum(F.shiftright(F.xxhash64("k1", F.lit(i)), 8).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    group = left.groupBy("token").agg(F.count("*").alias("size"), F.min("k1").alias("lo"), F.max("k1").alias("hi"), *hashes).filter("lo < hi")
+    keep = group.groupBy("size", "lo", "hi", "s1", "s2").agg(F.min("token").alias("token")).select("token")
+    out = written(left.join(keep, "token", "left_semi").select("token", "k1", F.floor(F.col("q") / STEPS).cast("int").alias("band")), "op8-tiles")
+    drop_written(left)
+    return out
+
+
+# -- pairs ---------------------------------------------------------------------
+
+PAIR = ("a1", "b1")
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """Pairs that the fine bitmaps allow; with best, of the pairs of each set b1 the one of greatest bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = b.to_pydict()
-            ok = [
-                may_link(n, int.from_bytes(x, "little"), len(x), m, int.from_bytes(y, "little"), len(y))
-                for n, x, m, y in zip(d["a_n"], d["a_fine"], d["b_n"], d["b_fine"], strict=True)
-            ]
+            over = [overlap_bound(n, x, m, y) for n, x, m, y in zip(d["a_n"], d["a_fine"], d["b_n"], d["b_fine"], strict=True)]
+            ok = [enough(o, n, m) for o, n, m in zip(over, d["a_n"], d["b_n"], strict=True)]
             if any(ok):
-                yield b.select(list(PAIR)).filter(pa.array(ok))
+                yield b.select(list(PAIR)).append_column("over", pa.array(over, pa.int64())).filter(pa.array(ok))
 
-    both = pairs.join(_side(sets, "a", "n", "fine"), ["a1", "a2"]).join(_side(sets, "b", "n", "fine"), ["b1", "b2"])
-    return both.select(*PAIR, "a_n", "a_fine", "b_n", "b_fine").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    side = lambda s: sets.select(F.col("k1").alias(f"{s}1"), F.col("n").alias(f"{s}_n"), F.col("fine").alias(f"{s}_fine"))
+    got = pairs.join(side("a"), "a1").join(side("b"), "b1").select(*PAIR, "a_n", "a_fine", "b_n", "b_fine").mapInArrow(run, "a1 long, b1 long, over long")
+    if best:
+        got = got.groupBy("b1").agg(F.max_by("a1", F.struct("over", "a1")).alias("a1"))
+    return got.select(*PAIR)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, log2_bits: int) -> DataFrame:
-    """Pairs that link, by their sorted arrays; only texts of sets that occur in pairs are read into arrays."""
-    keys = _union_keys(pairs)
-    rep = written(sets.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", "rep"), "op8-reps")
-    bits = bloom_bits(rep, "rep", log2_bits)
+def of_sets(docs: DataFrame, reps: DataFrame, k: int, seed: int, make: str) -> DataFrame:
+    """k1, n and `make` (bitmaps or arrays) of the sets in reps (k1, rep), from the text of one document of each.
+
+    A Bloom filter of bounded size spares most other texts the work; what it lets through goes in the semi join.
+    """
+    log2_bits = bloom_size(reps.count())
+    bits = bloom_bits(reps, F.xxhash64("rep"), log2_bits)
+    spec = [("rep", pa.int64()), ("k1", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in make.split()]
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec = [("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.binary())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = _ids(b)
-            hit = np.flatnonzero(bloom_has(bits, np.array(ids, dtype=np.int64).view(np.uint64), log2_bits))
+            hit = np.flatnonzero(bloom_has(bits, b.column("h").to_numpy(zero_copy_only=False), log2_bits))
             if not len(hit):
                 continue
+            b = b.take(pa.array(hit))
             rows = []
-            for i, x in zip(hit, texts(b.take(pa.array(hit))), strict=True):
-                if len(h := shingles(x, k)):
-                    rows.append((ids[i], *set_key(h), h.tobytes()))
+            for i, h in zip(b.column("doc_id").to_pylist(), shingle_sets(texts(b), k), strict=True):
+                if len(h):
+                    rows.append((i, set_key(h, seed), len(h), *((h.tobytes(),) if make == "array" else (bitmap(h), bitmap(h, FINE)))))
+                if len(rows) >= 500:
+                    yield _batch(rows, spec)
+                    rows = []
             if rows:
                 yield _batch(rows, spec)
 
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
+    narrow = docs.select(ids.alias("doc_id"), F.xxhash64(ids).alias("h"), "text")
+    got = narrow.mapInArrow(run, "rep long, k1 long, n long, " + ", ".join(f"{c} binary" for c in make.split()))
+    got = got.join(reps.select("k1", "rep"), ["k1", "rep"], "left_semi")
+    return got.dropDuplicates(["k1"]).drop("rep")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """Pairs that link, by their sorted arrays; only texts of sets that occur in pairs are read into arrays."""
+    keys = _either(pairs)
+    some = written(reps.join(keys, "k1", "left_semi"), "op8-reps")
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [
@@ -228,40 +409,37 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, log2_bi
             if any(ok):
                 yield b.select(list(PAIR)).filter(pa.array(ok))
 
-    got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(arrays, "rep long, k1 long, k2 long, h binary")
-    got = written(got.join(rep, ["k1", "k2", "rep"], "left_semi").dropDuplicates(["k1", "k2"]), "op8-arrays")
-    both = pairs.join(_side(got, "a", "h"), ["a1", "a2"]).join(_side(got, "b", "h"), ["b1", "b2"])
-    out = written(both.select(*PAIR, "a_h", "b_h").mapInArrow(check, "a1 long, a2 long, b1 long, b2 long"), "op8-links")
-    drop_written(got, rep)
+    got = written(of_sets(docs, some, k, seed, "array"), "op8-arrays")
+    side = lambda s: got.select(F.col("k1").alias(f"{s}1"), F.col("array").alias(f"{s}_h"))
+    both = pairs.join(side("b"), "b1").join(side("a"), "a1")
+    out = written(both.select(*PAIR, "a_h", "b_h").mapInArrow(check, "a1 long, b1 long"), "op8-links")
+    drop_written(got, some)
     return out
 
 
-def _union_keys(pairs: DataFrame) -> DataFrame:
-    a = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
-    return a.union(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
+def _either(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array(*PAIR)).alias("k1")).distinct()
 
 
-def labels(edges: DataFrame, sets: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """k1, k2, rep, lab of every set with an edge: the smallest rep it reaches.
+def labels(edges: DataFrame, reps: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """k1, rep, lab of every set with an edge: the smallest rep it reaches.
 
     Each round takes the least of the neighbours' labels and of the own label's
     label, so long chains take a logarithmic number of rounds.  start: labels
     from fewer edges.
     """
-    both = edges.union(edges.select("b1", "b2", "a1", "a2")).distinct()
-    both = written(both, "op8-edges")
-    lab = sets.join(_union_keys(edges), ["k1", "k2"], "left_semi").select("k1", "k2", "rep")
+    both = written(edges.union(edges.select("b1", "a1")).distinct(), "op8-edges")
+    lab = reps.join(_either(edges), "k1", "left_semi").select("k1", "rep")
     if start is not None:
-        lab = lab.join(start.select("k1", "k2", F.col("lab").alias("_s")), ["k1", "k2"], "left").select("k1", "k2", "rep", F.coalesce("_s", "rep").alias("lab"))
+        lab = lab.join(start.select("k1", F.col("lab").alias("_s")), "k1", "left").select("k1", "rep", F.coalesce("_s", "rep").alias("lab"))
     else:
         lab = lab.withColumn("lab", F.col("rep"))
     lab = written(lab, "op8-labels")
     while True:
-        near = both.join(lab.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "lab"), ["a1", "a2"])
-        near = near.groupBy(F.col("b1").alias("k1"), F.col("b2").alias("k2")).agg(F.min("lab").alias("_near"))
+        near = both.join(lab.select(F.col("k1").alias("a1"), "lab"), "a1").groupBy(F.col("b1").alias("k1")).agg(F.min("lab").alias("_near"))
         root = lab.groupBy("rep").agg(F.min("lab").alias("_top")).withColumnRenamed("rep", "_of")
-        nxt = lab.join(root, F.col("lab") == F.col("_of"), "left").join(near, ["k1", "k2"], "left")
-        nxt = written(nxt.select("k1", "k2", "rep", F.col("lab").alias("_old"), F.least("lab", "_top", "_near").alias("lab")), "op8-labels")
+        nxt = lab.join(root, F.col("lab") == F.col("_of"), "left").join(near, "k1", "left")
+        nxt = written(nxt.select("k1", "rep", F.col("lab").alias("_old"), F.least("lab", "_top", "_near").alias("lab")), "op8-labels")
         drop_written(lab)
         changed = nxt.filter("lab < _old").head(1)
         lab = nxt
@@ -271,50 +449,48 @@ def labels(edges: DataFrame, sets: DataFrame, start: DataFrame | None = None) ->
 
 
 def open_tiles(rows: DataFrame, sets: DataFrame, lab: DataFrame | None) -> DataFrame:
-    """token, tile, k1, k2, n, band, lab, size, grouped of the tiles that hold sets of more than one component.
+    """token, tile, k1, band, lab, size, grouped of the tiles that hold sets of more than one component.
 
-    rows: token, k1, k2, n, band.  A band's tile holds its own sets and, as
-    guests, those of the band below.
+    rows: token, k1, band.  A band's tile holds its own sets and, as guests,
+    those of the band below.
     """
-    d = rows.join(sets.select("k1", "k2", "rep"), ["k1", "k2"])
+    d = rows.join(sets.select("k1", "rep"), "k1")
     if lab is None:
         d = d.withColumnRenamed("rep", "lab").withColumn("_in", F.lit(False))
     else:
-        d = d.join(lab.select("k1", "k2", "lab"), ["k1", "k2"], "left").withColumn("_in", F.col("lab").isNotNull())
+        d = d.join(lab.select("k1", "lab"), "k1", "left").withColumn("_in", F.col("lab").isNotNull())
         d = d.withColumn("lab", F.coalesce("lab", "rep")).drop("rep")
-    d = d.select("*", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"))
+    d = written(d.select("*", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile")), "op8-labelled")
     many = d.groupBy("token", "tile").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("size"), F.max("band").alias("top"), F.bool_or("_in").alias("grouped"))
-    many = written(many.filter((F.col("lo") < F.col("hi")) & (F.col("top") == F.col("tile"))).select("token", "tile", "size", "grouped"), "op8-open")
-    return d.drop("_in").join(many, ["token", "tile"])
+    many = many.filter((F.col("lo") < F.col("hi")) & (F.col("top") == F.col("tile"))).select("token", "tile", "size", "grouped")
+    out = written(d.drop("_in").join(many, ["token", "tile"]), "op8-todo")
+    drop_written(d)
+    return out
 
 
 def star(rows: DataFrame) -> DataFrame:
-    """Pairs of every set with two leaders of its band among the sets of a token.
+    """Pairs of every set (b1) with two leaders (a1) of its band among the sets of a token.
 
     Eight ways to draw leaders are dealt to the tokens, so a group of near
     copies meets many leaders while the tokens that repeat it give equal pairs.
     This only saves work: what it leaves open, the later steps compare.
     """
     d = rows.withColumn("_r", F.xxhash64("k1", F.col("token").bitwiseAND(F.lit(7))))
-    ends = [f(c, "_r").alias(f"{x}{c[1]}") for x, f in (("p", F.min_by), ("q", F.max_by)) for c in ("k1", "k2")]
-    lead = written(d.groupBy("token", "band").agg(*ends).filter("p1 <> q1"), "op8-leaders")
-    side = lambda x: F.struct(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"))
-    mine = F.struct("k1", "k2")
-    d = rows.join(lead, ["token", "band"]).select("n", mine.alias("m"), F.explode(F.array(side("p"), side("q"))).alias("l")).filter("m <> l")
-    d = d.select("n", F.least("m", "l").alias("a"), F.greatest("m", "l").alias("b"))
-    d = d.groupBy(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    return d.filter("c > 1 or n <= 60").select(*PAIR)  # near copies of some length share many tokens
+    lead = d.groupBy("token", "band").agg(F.min_by("k1", "_r").alias("p"), F.max_by("k1", "_r").alias("q")).filter("p <> q")
+    d = rows.join(written(lead, "op8-leaders"), ["token", "band"])
+    d = d.select(F.explode(F.array("p", "q")).alias("a1"), F.col("k1").alias("b1")).filter("a1 <> b1").distinct()
+    return d
 
 
 def compare(group: list[tuple], best: bool) -> list[tuple]:
-    """Pairs of a tile's rows (tile, band, own block, other block's rows apart, n, lab, k1, k2, bits) that the bound allows.
+    """Pairs of a tile's rows (tile, band, own block, other block's rows apart, n, lab, k1, bits) that the bound allows.
 
     With best, of each two components only the pair with the greatest bound.
     """
     if len(group) < 2:
         return []
     group = sorted(group, key=lambda r: r[4])
-    tile, band, own, apart, n, lab, k1, k2, bits = zip(*group, strict=True)
+    tile, band, own, apart, n, lab, k1, bits = zip(*group, strict=True)
     to = min(map(len, bits))
     flat = [b if len(b) == to else fold_bits(int.from_bytes(b, "little"), len(b), to).to_bytes(to, "little") for b in bits]
     m = np.frombuffer(b"".join(flat), dtype=np.uint64).reshape(len(group), -1)
@@ -334,11 +510,11 @@ def compare(group: list[tuple], best: bool) -> list[tuple]:
         over = (n[at] + n[y] - np.bitwise_count(m[at] ^ m[y]).sum(axis=1, dtype=np.int64)) // 2
         ok = DEN * over >= NUM * (n[at] + n[y] - over)
         for x, o in zip(at[ok].tolist(), over[ok].tolist(), strict=True):
-            a, b = sorted(((k1[x], k2[x]), (k1[y], k2[y])))
+            pair = (min(k1[x], k1[y]), max(k1[x], k1[y]))
             if not best:
-                found.append((*a, *b))
+                found.append(pair)
             elif o > top.get(key := (min(lab[x], lab[y]), max(lab[x], lab[y])), (-1, ()))[0]:
-                top[key] = (o, (*a, *b))
+                top[key] = (o, pair)
     return [p for _, p in top.values()] if best else found
 
 
@@ -349,10 +525,10 @@ def residual(tiles: DataFrame, sets: DataFrame, best: bool, block: int = 2048) -
     pairs are close; the others carry coarse ones.
     """
     blocks = F.ceil(F.col("size") / block)
-    d = tiles.withColumn("own", F.pmod(F.xxhash64("k1", "k2"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    d = tiles.withColumn("own", F.pmod(F.xxhash64("k1"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     d = d.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    d = d.join(sets.select("k1", "k2", "bits", "fine"), ["k1", "k2"]).withColumn("bits", F.when(F.col("grouped"), F.col("fine")).otherwise(F.col("bits")))
-    cols = ["token", "tile", "i", "j", "own", "band", "n", "lab", "k1", "k2", "bits"]
+    d = d.join(sets.select("k1", "n", "coarse", "fine"), "k1").withColumn("bits", F.when(F.col("grouped"), F.col("fine")).otherwise(F.col("coarse")))
+    cols = ["token", "tile", "i", "j", "own", "band", "n", "lab", "k1", "bits"]
     d = d.select(*cols).repartition("token", "tile", "i", "j").sortWithinPartitions("token", "tile", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,61 +557,82 @@ def residual(tiles: DataFrame, sets: DataFrame, best: bool, block: int = 2048) -
         if out:
             yield _batch(out, spec)
 
-    return d.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return d.mapInArrow(run, "a1 long, b1 long").distinct()
+
 
+# -- components ----------------------------------------------------------------
 
-def components(docs: DataFrame, k: int = WORDS, buckets: int = 1 << 18, log2_bits: int = 23) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+
+def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """doc_id, t (hash of the text), n, component of every row of docs; a null doc_id is NONE.
 
     Leaders merge most of a group of near copies, the closest pairs of two
     components most of the rest; then all pairs of sets that still share a tile
     and no component are compared.
     """
-    sig = written(signatures(docs, k, buckets), "op8-signatures")
-    levels = shared_levels(sig.filter("n = -1"), buckets)
-    rows = sig.filter("n >= 0")
-    toks = written(prefixes(docs, levels, k), "op8-prefixes")
-    shared = toks.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("token")
-    found = written(toks.join(shared, "token").groupBy("token", "k1", "k2").agg(F.min("n").alias("n")), "op8-shared")
-    drop_written(toks)
-    # A set with fewer shared shingles than any partner of 0.8 times its size or more must share has no partner.
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 12))
-    enough = found.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least).select("k1", "k2")
-    band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
-    tiles = written(found.join(enough, ["k1", "k2"], "left_semi").withColumn("band", band), "op8-tiles")
+    for seed in range(0, 16, 2):
+        sig = written(signatures(docs, k, seed), "op8-signatures")
+        rows = sig.filter("n >= 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(NONE)))
+        both = rows.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.min("k2").alias("lo"), F.max("k2").alias("hi"))
+        both = written(both, "op8-keys")
+        if not both.filter("lo <> hi").head(1):  # two sets with one key: hash them otherwise
+            break
+        drop_written(both, sig)
+    else:
+        raise RuntimeError("sets share 64-bit keys under every seed")
+    reps = both.select("k1", "rep")
+    levels = shared_levels(summed(sig.filter("n = -1")))
+    total = rows.agg(F.sum(F.least(F.col("n"), F.col("n") * (1 - NUM / DEN + 1 / 24) + 2))).head()[0] or 0
+    packed = packed_prefixes(docs, levels, max(8, int(total) >> 18), k, seed)
+    found = written(shared_tokens(packed), "op8-shared")
+    tiles = distinct_tiles(found)
     drop_written(found)
-    in_tiles = tiles.select("k1", "k2").distinct()
-    sets = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fine").alias("fine"))
-    sets = written(sets.join(in_tiles, ["k1", "k2"], "left_semi"), "op8-sets")
+    some = written(reps.join(tiles.select("k1").distinct(), "k1", "left_semi"), "op8-candidates")
+    sets = written(of_sets(docs, some, k, seed, "coarse fine").join(some, "k1"), "op8-sets")
 
     edges, lab = None, None
     for step in ("star", "best", "all"):
         if step == "star":
             pairs = star(tiles)
         else:
-            todo = written(open_tiles(tiles, sets, lab), "op8-todo")
+            todo = open_tiles(tiles, sets, lab)
             pairs = residual(todo.filter("grouped") if step == "best" else todo, sets, step == "best")
-        close = written(bounded(pairs, sets), "op8-close")
+        close = written(bounded(pairs, sets, step == "star"), "op8-close")
         if close.head(1):
-            found = verified(close, sets, docs, k, log2_bits)
+            found = verified(close, some, docs, k, seed)
             edges = found if edges is None else edges.union(found)
-            lab = labels(edges, sets, lab)
+            old, lab = lab, labels(edges, some, lab)
+            if old is not None:
+                drop_written(old)
         drop_written(close)
+        if step != "star":
+            drop_written(todo)
+    drop_written(tiles, some, sets)
     # Sets without links still join their equal copies.
-    own = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1")
-    if lab is None:
-        own = own.withColumnRenamed("least", "lab")
-    else:
-        own = own.join(lab.select("k1", "k2", "lab"), ["k1", "k2"], "full").withColumn("lab", F.least("lab", "least"))
-    own = written(own.select("k1", "k2", "lab"), "op8-components")
-    out = rows.join(own, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.least("lab", "doc_id")).otherwise(F.col("doc_id")))
+    own = both.filter("c > 1").select("k1", F.col("rep").alias("lab"))
+    if lab is not None:
+        own = own.join(lab.select("k1", F.col("lab").alias("_l")), "k1", "full").select("k1", F.coalesce("_l", "lab").alias("lab"))
+    own = written(own, "op8-components")
+    drop_written(both, *([lab] if lab is not None else []))
+    out = rows.filter("n >= 0").join(own, "k1", "left")
+    return out.select("doc_id", "t", "n", F.when((F.col("n") > 0) & F.col("lab").isNotNull(), F.col("lab")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def components(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
     real = lambda c: F.when(F.col(c) != NONE, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
+    return joined(docs, k).select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of each component that has its smallest doc_id, with all columns; rows that share a doc_id stay or go together."""
-    got = written(components(docs), "op8-verdict")
-    gone = got.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stay"))
-    gone = written(gone.filter("not stay").select(F.col("doc_id").alias("_g_id")), "op8-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_g_id"), "left_anti").select(*docs.columns)
+    """One row of each component, with all its columns: the one of the smallest doc_id, of equal ids that of the smallest hash of its text.
+
+    Rows without words stay, each for itself; of rows that share both doc_id and text one stays.
+    """
+    got = written(joined(docs).filter("n > 0"), "op8-verdict")
+    best = got.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("_b"))
+    gone = got.join(best, "component").filter(F.struct("doc_id", "t") != F.col("_b")).select("doc_id", "t").distinct()
+    gone = written(gone, "op8-gone")
+    twice = got.groupBy("doc_id", "t").agg(F.count("*").alias("c")).filter("c > 1").head(1)
+    drop_written(got)
+    return without(docs, gone, [F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.xxhash64("text")], once=bool(twice))

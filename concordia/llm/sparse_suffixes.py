@@ -45,7 +45,7 @@ def minimisers(blocks: np.ndarray, width: int) -> np.ndarray:
 
 def suffix_positions(text: bytes, words: int = MIN_WORDS, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, block hashes and, by window of `words` words, the position of the retained suffix."""
-    w = word_hashes(text.split())
+    w = word_hashes([text])[0]
     if len(w) < words:
         return w, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     g = gram_hashes(w, block)
@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, block: int = BLOCK,
     suffixes = written(retained(docs, words, block), "op6-suffixes")
     found = written(matched(suffixes), "op6-matched")
     drop_written(suffixes)
-    bits = bloom_bits(found, "suffix", log2_bits)
+    bits = bloom_bits(found, F.col("suffix"), log2_bits)
     drop_written(found)
     around = written(surroundings(docs, bits, log2_bits, words, block), "op6-surroundings")
     group = around.groupBy("suffix", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("first", "doc_id").alias("_f"), F.max_by("first", "doc_id").alias("_g"))

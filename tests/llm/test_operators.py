@@ -386,10 +386,46 @@ def test_op8_bounds_never_refuse_a_link():
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)]))
         if len(b) and shingle_join.links(a, b):
             for per in (1, 6):
-                x, y = shingle_join.bitmap(a, per), shingle_join.bitmap(b, per)
-                assert shingle_join.may_link(len(a), int.from_bytes(x, "little"), len(x), len(b), int.from_bytes(y, "little"), len(y))
-            levels = np.zeros(1 << 10, dtype=np.uint8)
-            assert set(shingle_join.prefix(a, levels)) & set(shingle_join.prefix(b, levels))
+                over = shingle_join.overlap_bound(len(a), shingle_join.bitmap(a, per), len(b), shingle_join.bitmap(b, per))
+                assert shingle_join.enough(over, len(a), len(b))
+            assert abs(shingle_join.size_step(len(a)) - shingle_join.size_step(len(b))) <= shingle_join.STEPS
+            levels = (rng.random(1 << 10) < rng.random()).astype(np.uint8)
+            some = min(shingle_join.shared_at_least(len(x)) for x in (a, b))
+            assert len(set(shingle_join.prefix(a, levels)) & set(shingle_join.prefix(b, levels))) >= some
+
+
+def test_op8_words_are_hashed_alike_in_any_company():
+    from concordia.llm import common
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB \n\té1" + "x" * 20) for _ in range(rng.randrange(400))).encode() for _ in range(50)] + [b"", b" ", b"y" * 5000, b"0" * 64 + b" " + b"0" * 65]
+    whole, begin = common.word_hashes(texts)
+    seen = {}
+    for i, x in enumerate(texts):
+        own, _ = common.word_hashes([x])
+        assert own.tolist() == whole[begin[i] : begin[i + 1]].tolist() and len(own) == len(x.split())
+        for w, h in zip(x.split(), own.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_op8_hot_shingles_are_dealt_out_whole(spark, tmp_path, monkeypatch):
+    # 40 texts share all but their last shingle, 1 of another size band too; with HOT at 4 nearly all are dealt out, and none may be lost.
+    monkeypatch.setattr(shingle_join, "HOT", 4)
+    rng = random.Random(5)
+    common = " ".join(f"c{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(i, f"{common} e{i}") for i in range(40)] + [(50, " ".join(common.split()[:20]))]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    levels = np.zeros(shingle_join.BUCKETS, dtype=np.uint8)
+    packed = shingle_join.packed_prefixes(docs, levels, 8)
+    assert packed.filter("not home").count() > 0
+    got = shingle_join.shared_tokens(packed).select("token", "k1").distinct().groupBy("token").count().collect()
+    sets = {h.tobytes(): shingle_join.prefix(h, levels) for h in shingle_join.shingle_sets([x.encode() for i, x in rows[:40]])}
+    want = Counter(int(x) for p in sets.values() for x in p)
+    assert sorted(r["count"] for r in got) == sorted(n for n in want.values() if n > 1)
+    assert {r.component_id for r in shingle_join.components(docs).collect()} == {0, 50}
 
 
 def test_op9_rows_law(docs, rows, empty):
