@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df once into the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
@@ -38,9 +42,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._concordia_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+@contextmanager
+def cleared() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables written within, but for those it is told to keep."""
+    _SCOPES.append([])
+    safe: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        safe.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        drop_written(*[x for x in _SCOPES.pop() if not any(x is y for y in safe)])
+        if _SCOPES:
+            _SCOPES[-1] += safe
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Delete tables of written() that no later plan reads."""
     for df in frames:
@@ -64,22 +88,30 @@ def literal_table(spark: SparkSession, rows: Iterable[dict], schema: str) -> Dat
 SENT = 1_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame, keys: Sequence[Column], once: bool = False) -> DataFrame:
-    """docs less the rows whose keys are in gone (a written table, its columns in the order of keys); with once, of rows with equal keys one stays.
+def sent(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has SENT rows at most."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def without(docs: DataFrame, keys: Sequence[Column], gone: DataFrame, twice: DataFrame | None = None) -> DataFrame:
+    """docs less the rows whose keys are in gone; of rows whose keys are in twice one each.
 
-    A gone list of SENT rows at most is sent to the texts; a longer one makes Spark shuffle both.
+    gone and twice are written tables, their columns in the order of keys.  Lists
+    of SENT rows at most are sent to the texts; longer ones make Spark shuffle both.
     """
     names = [f"_k{i}{uuid.uuid4().hex[:8]}" for i in range(len(keys))]
-    right = gone.toDF(*[f"{n}g" for n in names])
-    if gone.count() <= SENT:
-        right = F.broadcast(right)
-    on = None
-    for n in names:
-        hit = F.col(n) == F.col(f"{n}g")
-        on = hit if on is None else on & hit
-    out = docs.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)]).join(right, on, "left_anti")
-    if once:
-        out = out.dropDuplicates(names)
+    d = docs.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+
+    def hit(df: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        right = sent(table).toDF(*[f"{n}g" for n in names])
+        on = F.lit(True)
+        for n in names:
+            on &= F.col(n).eqNullSafe(F.col(f"{n}g"))
+        return df.join(right, on, how)
+
+    out = hit(d, gone, "left_anti")
+    if twice is not None and twice.head(1):
+        out = hit(out, twice, "left_anti").union(hit(out, twice, "left_semi").dropDuplicates(names))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -8,7 +8,9 @@ documents are range-sorted by position.
 
 Cases: null text has size 0 and is never taken; a null source is a source of
 its own and comes last; repeated rows are rows of their own; an empty table
-gives an empty result; sources whose sizes are all 0 have target 0.
+gives an empty result; sources whose sizes are all 0 have target 0; very long
+texts are taken up to three times whole or in part like any other; documents of
+equal hash follow one another by doc_id and size; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_total, written
+from .common import WORD, cleared, running_total, without, written
 
 #: Relative intensity at times 0, 1/2 and 1 for the sources of each weight class.
 SCHEDULES: tuple[tuple[float, ...], ...] = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -85,6 +87,7 @@ def curriculum(
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", "text").alias("_h"),
+        F.xxhash64("text").alias("_t"),
     )
     narrow = written(narrow, "op4-sizes")
     targets = written(
@@ -102,7 +105,7 @@ def curriculum(
     d = d.withColumn("copies", F.when(F.col("taken") > 0, F.col("copies")).otherwise(0))
     pos = position(F.col("_at"), schedules)
     return d.withColumn("position", F.when(F.col("taken") > 0, pos)).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "class", F.col("_at").alias("start"), "_h"
+        "doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "class", F.col("_at").alias("start"), "_h", "_t"
     )  # range-sorted by whoever writes it: sort("position")
 
 
@@ -116,12 +119,21 @@ def position(start: Column, schedules: Sequence[Sequence[float]] = SCHEDULES, pr
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row for every copy, range-sorted by training position."""
-    got = written(curriculum(docs), "op4-mix").filter("copies > 0").dropDuplicates(["doc_id", "_h"])
-    got = got.select(
-        *[F.col(c).alias(f"_m_{c.lstrip('_')}") for c in ("doc_id", "_h", "class", "target", "start", "source_size", "copies")]
-    )
-    on = F.col("doc_id").eqNullSafe(F.col("_m_doc_id")) & (F.xxhash64("doc_id", "text") == F.col("_m_h"))
-    out = docs.join(got, on).withColumn("_m_copy", F.explode(F.sequence(F.lit(0), F.col("_m_copies") - 1)))
-    at = position(F.col("_m_start") + F.col("_m_copy") * F.col("_m_source_size"), prefix="_m_")
-    return out.withColumn("_m_at", at).sort("_m_at", "_m_h").select(*docs.columns)
+    """docs as the mix takes them: a row for every copy, range-sorted by training position.
+
+    Rows that are equal in doc_id, source and text each have places of their own.
+    """
+    key = [F.col("doc_id"), F.col("source"), F.xxhash64("text")]
+    with cleared() as keep:
+        got = written(curriculum(docs).filter("copies > 0"), "op4-mix")
+        cell = ["doc_id", "source", "_t"]
+        twice = keep(written(got.groupBy(*cell).agg(F.count("*").alias("c")).filter("c > 1").select(*cell), "op4-twice"))
+        none = keep(written(twice.limit(0), "op4-none"))
+        at = position(F.col("start") + F.col("copy") * F.col("source_size"))
+        took = got.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        took = keep(written(took.select(*[F.col(c).alias(f"{c}_of") for c in cell], "_h", at.alias("at")), "op4-places"))
+    one = without(docs, key, none, twice)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = one.select(*[k.alias(c) for k, c in zip(key, cell, strict=True)], row)
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in cell]
+    return d.join(took, on).sort("at", "_h").select("row.*")

@@ -10,7 +10,8 @@ exact texts.
 
 Cases: null text counts as empty, empty texts are equal to each other, texts
 that differ only in the case of A-Z are equal, repeated rows are rows of their
-own of which one stays, a null doc_id sorts before all others.
+own of which one stays, a null doc_id sorts before all others; other columns may
+have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, per_batch, texts, written
+from .common import bloom_bits, bloom_has, bloom_size, cleared, drop_written, per_batch, texts, without, written
 
 #: Fixed value: a 127-bit prime that is not a Mersenne prime, so that powers of 256 do not repeat early.
 PRIME = 170141183460469231731687303715884105703
 CHUNK = 1 << 15
+HUGE = 1 << 21  # bytes, above which the chunks of one text are hashed side by side
+KEY = ("fp_hi", "fp_lo", "n_bytes")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def fold(text: bytes) -> bytes:
@@ -53,40 +57,60 @@ def _split(x: int) -> tuple[int, int]:
     return hi - (1 << 64) * (hi >> 63), lo - (1 << 64) * (lo >> 63)
 
 
-def fingerprints(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIME) -> DataFrame:
-    """doc_id, fp_hi, fp_lo, n_bytes and the SHA-256 of the folded text."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        folded = [fold(x) for x in texts(b)]
-        fps = [_split(fingerprint(x, chunk, prime)) for x in folded]
-        return pa.RecordBatch.from_arrays(
-            [
-                b.column("doc_id"),
-                pa.array([x[0] for x in fps], pa.int64()),
-                pa.array([x[1] for x in fps], pa.int64()),
-                pa.array([len(x) for x in folded], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in folded], pa.string()),
-            ],
-            ["doc_id", "fp_hi", "fp_lo", "n_bytes", "text_sha256"],
-        )
+def fingerprints(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIME, huge: int = HUGE) -> DataFrame:
+    """doc_id, t (hash of the text), fp_hi, fp_lo, n_bytes and the SHA-256 of the folded text.
 
+    Texts above `huge` bytes are dealt out by chunks; their chunk hashes, with
+    lengths and places, are all that comes together again.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        per_batch(run), f"doc_id {kind}, fp_hi long, fp_lo long, n_bytes long, text_sha256 string"
-    )
-
-
-KEY = ("fp_hi", "fp_lo", "n_bytes")
+    out = f"doc_id {kind}, t long, fp_hi long, fp_lo long, n_bytes long, text_sha256 string"
+    names = ["doc_id", "t", *KEY, "text_sha256"]
 
+    def table(first: list[pa.Array], found: list[tuple[int, int]], shas: list[str]) -> pa.RecordBatch:
+        halves = [_split(x) for x, _ in found]
+        cols = [[x for x, _ in halves], [y for _, y in halves], [n for _, n in found]]
+        return pa.RecordBatch.from_arrays([*first, *[pa.array(c, pa.int64()) for c in cols], pa.array(shas, pa.string())], names)
 
-def collided(docs: DataFrame, groups: DataFrame, chunk: int = CHUNK, prime: int = PRIME, log2_bits: int = 23) -> DataFrame:
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        folded = [fold(x) for x in texts(b)]
+        return table([b.column("doc_id"), b.column("t")], [(fingerprint(x, chunk, prime), len(x)) for x in folded], [hashlib.sha256(x).hexdigest() for x in folded])
+
+    def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [fold(x) for x in texts(b, "part")]
+        prints = [(int.from_bytes(x, "big") % prime).to_bytes(16, "big") for x in parts]
+        return pa.RecordBatch.from_arrays([b.column(c) for c in ("_rid", "place")] + [pa.array([len(x) for x in parts], pa.int64()), pa.array(prints, pa.binary())], ["_rid", "place", "size", "print"])
+
+    def combined(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for parts in b.column("parts").to_pylist():
+            h = n = 0
+            for p in parts:  # in the order of their places
+                h, n = combine(h, int.from_bytes(p["print"], "big"), p["size"], prime), n + p["size"]
+            found.append((h, n))
+        return table([b.column("doc_id"), b.column("t")], found, b.column("text_sha256").to_pylist())
+
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    long = F.coalesce(F.octet_length("text"), F.lit(0)) > huge
+    short = d.filter(~long).mapInArrow(per_batch(whole), out)
+    big = d.filter(long).withColumn("_rid", F.monotonically_increasing_id())
+    big = big.select("_rid", "doc_id", "t", F.sha2(F.translate("text", UPPER, LOWER), 256).alias("text_sha256"), F.col("text").cast("binary").alias("_b"))
+    place = F.explode(F.sequence(F.lit(0), F.floor((F.length("_b") - 1) / chunk))).alias("place")
+    parts = big.select("_rid", "_b", place).select("_rid", "place", F.expr(f"substring(_b, cast(place * {chunk} + 1 as int), {chunk})").alias("part"))
+    parts = parts.repartition("_rid", "place").mapInArrow(per_batch(hashed), "_rid long, place long, size long, print binary")
+    parts = parts.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("place", "size", "print"))).alias("parts"))
+    return short.unionByName(big.drop("_b").join(parts, "_rid").select("doc_id", "t", "text_sha256", "parts").mapInArrow(per_batch(combined), out))
+
+
+def collided(docs: DataFrame, groups: DataFrame, chunk: int = CHUNK, prime: int = PRIME) -> DataFrame:
     """Keys of groups (fp_hi, fp_lo, n_bytes of two or more rows) that hold unequal texts.
 
     Chunks of all members are grouped by key, place and content; equal chunks
     meet on the map side, so a hot group shuffles one row per task and place.
-    A fixed-size Bloom filter of the groups keeps texts without a partner at
+    A Bloom filter of the groups, of bounded size, keeps texts without a partner at
     home; what it lets through by chance goes in the semi join.
     """
+    log2_bits = bloom_size(groups.count())
     bits = bloom_bits(groups, F.col("fp_lo"), log2_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +141,12 @@ def _chunks(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def exact_dedup(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIME) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts the row with the largest doc_id stays; of rows that also
-    share it, one.
-    """
-    rows = written(
-        fingerprints(docs, chunk, prime).withColumn("_rid", F.monotonically_increasing_id()), "op5-prints"
-    )
-    shared = rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1")
-    unequal = written(collided(docs, written(shared, "op5-shared"), chunk, prime), "op5-collided")
+def verdicts(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIME, huge: int = HUGE) -> DataFrame:
+    """exact_dedup() with t, the hash of the text."""
+    rows = written(fingerprints(docs, chunk, prime, huge).withColumn("_rid", F.monotonically_increasing_id()), "op5-prints")
+    shared = written(rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1"), "op5-shared")
+    unequal = written(collided(docs, shared, chunk, prime), "op5-collided")
+    drop_written(shared)
     same = [F.col(k) for k in KEY]
     if unequal.head(1):  # fingerprints of unequal texts met: their groups are split by SHA-256 as well
         rows = rows.join(unequal.withColumn("_bad", F.lit(True)), list(KEY), "left")
@@ -152,22 +171,24 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIME) -> Data
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("_rid") == F.col("_keep"))).alias("kept"),
         "text_sha256",
+        "t",
     )
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+def exact_dedup(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIME, huge: int = HUGE) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the row with the largest doc_id stays; of rows that also
+    share it, one.
+    """
+    return verdicts(docs, chunk, prime, huge).drop("t")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    verdict = written(exact_dedup(docs), "op5-verdict")
-    ids = ["doc_id", "text_sha256"]
-    cell = verdict.groupBy(*ids).agg(F.bool_or("kept").alias("stay"), F.count("*").alias("n"))
-    gone = written(cell.filter("not stay").select(*[F.col(c).alias(f"_g_{c}") for c in ids]), "op5-gone")
-    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256)
-    marked = docs.withColumn("_g_sha", sha)
-    hit = F.col("doc_id").eqNullSafe(F.col("_g_doc_id")) & (F.col("_g_sha") == F.col("_g_text_sha256"))
-    left = marked.join(gone, hit, "left_anti")
-    if cell.filter("stay and n > 1").head(1):
-        left = left.dropDuplicates(["doc_id", "_g_sha"])
-    return left.select(*docs.columns)
+    cell = ["doc_id", "t"]
+    with cleared() as keep:
+        got = written(verdicts(docs).filter("group_size > 1"), "op5-verdict").groupBy(*cell).agg(F.bool_or("kept").alias("stay"), F.count("*").alias("n"))
+        gone = keep(written(got.filter("not stay").select(*cell), "op5-gone"))
+        twice = keep(written(got.filter("stay and n > 1").select(*cell), "op5-twice"))
+    return without(docs, [F.col("doc_id"), F.xxhash64("text")], gone, twice)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, bloom_size, distinct, drop_written, gram_hashes, texts, without, word_slabs, written
+from .common import bloom_bits, bloom_has, bloom_size, cleared, distinct, drop_written, gram_hashes, texts, without, word_slabs, written
 
 WORDS = 5
 NUM, DEN = 80, 100
@@ -629,10 +629,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without words stay, each for itself; of rows that share both doc_id and text one stays.
     """
-    got = written(joined(docs).filter("n > 0"), "op8-verdict")
-    best = got.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("_b"))
-    gone = got.join(best, "component").filter(F.struct("doc_id", "t") != F.col("_b")).select("doc_id", "t").distinct()
-    gone = written(gone, "op8-gone")
-    twice = got.groupBy("doc_id", "t").agg(F.count("*").alias("c")).filter("c > 1").head(1)
-    drop_written(got)
-    return without(docs, gone, [F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.xxhash64("text")], once=bool(twice))
+    cell = ["doc_id", "t"]
+    with cleared() as keep:
+        got = written(joined(docs).filter("n > 0"), "op8-verdict")
+        best = got.groupBy("component").agg(F.min(F.struct(*cell)).alias("_b"))
+        gone = keep(written(got.join(best, "component").filter(F.struct(*cell) != F.col("_b")).select(*cell).distinct(), "op8-gone"))
+        twice = keep(written(got.groupBy(*cell).agg(F.count("*").alias("c")).filter("c > 1").select(*cell), "op8-twice"))
+    return without(docs, [F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.xxhash64("text")], gone, twice)
