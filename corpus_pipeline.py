@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from concordia.llm import bin_completion, curriculum_mix, fingerprint_dedup, language_fusion, shingle_join
-from concordia.llm.common import table, written
+from concordia.llm.common import drop_written, table, written
 from concordia.llm.queries import tokenizer_path
 
 
@@ -56,5 +56,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)
