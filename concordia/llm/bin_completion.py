@@ -3,24 +3,27 @@
 Documents become pieces of at most `capacity` tokens; only longer documents are
 cut.  The search works on the histogram of piece lengths, which has `capacity`
 rows however many documents there are: around the largest piece left it
-enumerates undominated fillings of the gap, prunes fillings that waste more
-than the best one known, and repeats the chosen filling as often as its lengths
-last.  Best-fit solutions are the incumbents; where they miss the lower bound,
-branch and bound over fillings and their repeats looks for a better packing
-within a node budget that is the same for any number of pieces.
+enumerates the fillings of the gap that no piece left out dominates, prunes
+those that waste more than a better packing may, and repeats a filling as often
+as its lengths last.  Best-fit solutions are the incumbents; where they miss the
+lower bound, branch and bound over fillings and their repeats looks for a better
+packing, with the same number of steps at every size of input.
 
 Pieces then take their places by their rank among those of their length, which
 DataFrame work finds; the pattern table is bounded by the histogram.
 
 Cases: null text counts as empty and is one piece of one token; repeated rows
-are rows of their own; an empty table gives an empty result.
+are rows of their own; pieces of one length rank by hash, ties by doc_id and
+piece; a null doc_id stays null; very long texts are encoded whole, in one
+worker's memory, and cut; other columns may have any names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -131,189 +134,221 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
 # -- search ------------------------------------------------------------------
 
+Filling = tuple[tuple[int, int], ...]  # (length, times) in descending order of length
+Pattern = tuple[int, Filling]  # a filled bin and how often it is made
 
-def lower_bound(counts: Sequence[int], capacity: int) -> int:
-    """Bins that any packing needs: by volume, or by pieces too large to share a bin (Martello and Toth's L2)."""
-    sizes = np.arange(len(counts))
-    n = np.asarray(counts, dtype=np.int64)
-    cum_n, cum_v = np.cumsum(n), np.cumsum(n * sizes)
-    best = -(-int(cum_v[-1]) // capacity)
-    for k in range(0, capacity // 2 + 1):
-        big = int(cum_n[-1] - cum_n[capacity - k]) if capacity - k < len(n) else 0
-        lo = capacity // 2
-        mid = int(cum_n[capacity - k] - cum_n[lo]) if capacity - k > lo else 0
-        mid_v = int(cum_v[capacity - k] - cum_v[lo]) if capacity - k > lo else 0
-        small_v = int(cum_v[lo] - (cum_v[k - 1] if k else 0))
-        spare = mid * capacity - mid_v
-        best = max(best, big + mid + max(0, -(-(small_v - spare) // capacity)))
-    return best
+
+@functools.lru_cache(maxsize=4)
+def _rounded(capacity: int, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For k = 1, 2, ...: what each length weighs, and what a bin holds, if lengths count in parts of 1 / (k + 1), rounded down, of which k fit.
+
+    Lengths that are whole parts keep their share; these are Fekete and Schepers' dual feasible functions.
+    """
+    x, k = np.arange(capacity + 1, dtype=np.int64), np.arange(1, most, dtype=np.int64)[:, None]
+    parts, rest = np.divmod(x * (k + 1), capacity)
+    return np.where(rest == 0, x * k, parts * capacity), (k * capacity).ravel()
 
 
-class _Left:
-    """Piece counts by length with fast 'largest length at most x'."""
+def lower_bound(counts: Sequence[int], capacity: int) -> int:
+    """Bins that any packing needs: by volume, by pieces too large to share a bin (Martello and Toth's L2), or by rounded lengths."""
+    n = np.zeros(capacity + 1, dtype=np.int64)
+    n[: len(counts)] = counts
+    cum_n, cum_v = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    big, mid = cum_n[-1] - cum_n[capacity - k], cum_n[capacity - k] - cum_n[half]
+    spare = mid * capacity - (cum_v[capacity - k] - cum_v[half])
+    small = cum_v[half] - np.where(k > 0, cum_v[k - 1], 0)
+    need = big + mid + np.maximum(0, -(-(small - spare) // capacity))
+    weight, room = _rounded(capacity)
+    return max(-(-int(cum_v[-1]) // capacity), int(need.max()), int((-(-(weight @ n) // room)).max()))
+
+
+class Stock:
+    """Piece counts by length; a bit mask of the lengths that are left answers 'largest length at most x'."""
 
     def __init__(self, counts: Sequence[int]):
-        self.n = list(counts)
-        self.down = list(range(len(self.n)))
-        for i in range(1, len(self.n)):
-            if not self.n[i]:
-                self.down[i] = i - 1
-        self.down[0] = 0
+        self.n = [int(c) for c in counts]
+        self.mask = sum(1 << x for x, c in enumerate(self.n) if x and c)
 
     def at_most(self, x: int) -> int:
         """Largest length <= x that is left, 0 if none."""
-        x = min(x, len(self.n) - 1)
-        if x <= 0:
-            return 0
-        path = []
-        while x and (self.down[x] != x or not self.n[x]):
-            if self.down[x] == x:
-                self.down[x] = x - 1
-            path.append(x)
-            x = self.down[x]
-        for p in path:
-            self.down[p] = x
-        return x
-
-    def take(self, length: int, k: int) -> None:
-        self.n[length] -= k
-
-
-def completions(left: _Left, gap: int, waste: int, nodes: int = 400, every: bool = False) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of a gap, best first: (waste, lengths in descending order).
-
-    A filling that another one could replace piece by larger piece without
-    overflow is dominated, so at every level only the largest piece that fits
-    and the pieces that can still fill exactly are worth a try; branches that
-    cannot beat the best waste are pruned.  With `every`, all fillings within
-    `waste` count, as far as the nodes go.
-    """
-    best: list[tuple[int, list[int]]] = []
-    bound, spent = waste, nodes
-
-    def go(room: int, most: int, chosen: list[int]) -> bool:
-        nonlocal bound, spent
-        spent -= 1
-        x = left.at_most(min(room, most))
-        while x and chosen.count(x) >= left.n[x]:
-            x = left.at_most(x - 1)
-        if not x:
-            if room <= bound or not best:
-                bound = bound if every else min(bound, room)
-                best.append((room, chosen.copy()))
-            return room == 0 and not every
-        tries = 0
-        while x and spent > 0 and (every or tries < 8):
-            if room - x and x * 8 < room and tries and not every:
-                break
-            chosen.append(x)
-            if go(room - x, x, chosen):
-                return True
-            chosen.pop()
-            tries += 1
-            x = left.at_most(x - 1)
-            while x and chosen.count(x) >= left.n[x]:
-                x = left.at_most(x - 1)
-        return False
-
-    go(gap, gap, [])
-    best.sort(key=lambda f: (f[0], [-x for x in f[1]]))
-    return best
+        return max(0, (self.mask & ((2 << x) - 1)).bit_length() - 1) if x > 0 else 0
 
+    def take(self, filling: Filling, times: int = 1) -> None:
+        for x, k in filling:
+            self.n[x] -= k * times
+            self.mask = self.mask | 1 << x if self.n[x] else self.mask & ~(1 << x)
 
-def _fill(counts: Sequence[int], capacity: int, choose: Callable[[_Left, int], list[int]]) -> list[tuple[int, list[int]]]:
-    """Patterns (times, lengths): the largest piece left with what `choose` adds, as often as it can be repeated."""
-    left, out = _Left(counts), []
-    while big := left.at_most(capacity):
-        left.take(big, 1)
-        add = choose(left, capacity - big)
-        left.take(big, -1)
-        need: dict[int, int] = {}
-        for x in [big, *add]:
-            need[x] = need.get(x, 0) + 1
-        times = max(1, min(left.n[x] // k for x, k in need.items()))
-        for x, k in need.items():
-            left.take(x, k * times)
-        out.append((times, [big, *add]))
-    return out
 
+def dominated(stock: Stock, filling: Filling, room: int) -> bool:
+    """Whether a piece left out could join the filling, or stand in for one or more of its pieces.
 
-def _greedy(left: _Left, gap: int) -> list[int]:
-    add: list[int] = []
-    while x := left.at_most(gap):
-        while x and add.count(x) >= left.n[x]:
-            x = left.at_most(x - 1)
+    A piece y stands in for pieces of sum s if s < y <= s + room, or if y = s and
+    they are two or more: what is freed is then no harder to place than y.  Sums
+    are bits of an integer, so all pieces and all choices are tried at once.
+    """
+    out = stock.mask
+    for x, k in filling:
+        if stock.n[x] == k:
+            out &= ~(1 << x)
+    if out & ((2 << room) - 1):
+        return True
+    one = more = 0  # sums of one piece, of several
+    for x, k in filling:
+        c = 1
+        while k:
+            c = min(c, k)
+            more |= (more | one) << (c * x) | (1 << (c * x) if c > 1 else 0)
+            one |= 1 << x if c == 1 else 0
+            k, c = k - c, 2 * c
+    wide, width = (one | more) << 1, 1
+    while width < room:
+        step = min(width, room - width)
+        wide, width = wide | wide << step, width + step
+    return bool((more | (wide if room else 0)) & out)
+
+
+NODE = 20  # steps that a node counts for, beside those of its completions
+
+
+class Budget:
+    """Steps of search that are left; the same at every size of input."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def completions(stock: Stock, gap: int, waste: int, budget: Budget, steps: int = 400) -> tuple[list[tuple[int, Filling]], bool]:
+    """Undominated fillings of a gap that waste `waste` at most, least waste first, and whether the enumeration came to its end.
+
+    A level of the search is a length with the number of its pieces, so bins of
+    any number of pieces are some tens of levels deep.
+    """
+    found: list[tuple[int, Filling]] = []
+    spent = min(steps, budget.left)
+    begun = spent
+
+    def go(room: int, top: int, chosen: Filling) -> bool:
+        """False once the enumeration shall end."""
+        nonlocal spent
+        x = stock.at_most(min(room, top))
         if not x:
-            break
-        add.append(x)
-        gap -= x
-    return add
+            if room <= waste and not dominated(stock, chosen, room):
+                found.append((room, chosen))
+            return room > 0 or len(chosen) > 1 or sum(k for _, k in chosen) > 1  # one piece that fills the gap dominates all
+        while x:
+            for k in range(min(stock.n[x], room // x), 0, -1):
+                spent -= 1
+                if spent < 0 or not go(room - k * x, x - 1, (*chosen, (x, k))):
+                    return False
+            x = stock.at_most(x - 1)
+        return True
+
+    go(gap, gap, ())
+    budget.left -= begun - max(spent, 0)
+    found.sort(key=lambda f: (f[0], [(-x, -k) for x, k in f[1]]))
+    return found, spent >= 0
+
+
+def greedy(stock: Stock, gap: int) -> Filling:
+    """The largest piece that fits, again and again: best fit."""
+    out: list[tuple[int, int]] = []
+    x = stock.at_most(gap)
+    while x:
+        k = min(stock.n[x], gap // x)
+        out.append((x, k))
+        gap -= k * x
+        x = stock.at_most(min(x - 1, gap))
+    return tuple(out)
+
+
+def whole_bin(big: int, add: Filling) -> Filling:
+    """A bin's largest piece and what completes it."""
+    return ((big, add[0][1] + 1), *add[1:]) if add and add[0][0] == big else ((big, 1), *add)
+
+
+def repeats(stock: Stock, filling: Filling) -> int:
+    return min(stock.n[x] // k for x, k in filling)
+
+
+def _fill(counts: Sequence[int], capacity: int, choose: Callable[[Stock, int], Filling]) -> list[Pattern]:
+    """The largest piece left with what `choose` adds, as often as it can be repeated, until nothing is left."""
+    stock, out = Stock(counts), []
+    while big := stock.at_most(capacity):
+        stock.take(((big, 1),))
+        add = choose(stock, capacity - big)
+        stock.take(((big, -1),))
+        filling = whole_bin(big, add)
+        times = repeats(stock, filling)
+        stock.take(filling, times)
+        out.append((times, filling))
+    return out
 
 
-def best_fit(counts: Sequence[int], capacity: int) -> list[tuple[int, list[int]]]:
+def best_fit(counts: Sequence[int], capacity: int) -> list[Pattern]:
     """The largest piece, then again and again the largest that still fits."""
-    return _fill(counts, capacity, _greedy)
+    return _fill(counts, capacity, greedy)
 
 
-def bins(patterns: Sequence[tuple[int, list[int]]]) -> int:
+def bins(patterns: Sequence[Pattern]) -> int:
     return sum(t for t, _ in patterns)
 
 
-def pack(counts: Sequence[int], capacity: int = CAPACITY, nodes: int = 20_000) -> list[tuple[int, list[int]]]:
-    """Patterns for a histogram (counts[length]); as few bins as the search finds."""
+def pack(counts: Sequence[int], capacity: int = CAPACITY, steps: int = 300_000) -> list[Pattern]:
+    """Patterns for a histogram (counts[length]); as few bins as the search finds, never more than best fit."""
     goal = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     if bins(best) > goal:
-        got = _fill(counts, capacity, lambda left, gap: (completions(left, gap, gap) or [(gap, [])])[0][1])
-        best = min(best, got, key=bins)
+        free = Budget(1 << 60)  # one completion a pattern, and patterns are bounded by the lengths
+        least = _fill(counts, capacity, lambda s, gap: next((f for _, f in completions(s, gap, gap, free)[0]), greedy(s, gap)))
+        best = min(best, least, key=bins)
     if bins(best) > goal:
-        best = _branch(counts, capacity, goal, best, nodes)
+        best = branch(counts, capacity, goal, best, Budget(steps))
     return best
 
 
-def _branch(counts: Sequence[int], capacity: int, goal: int, best: list, nodes: int) -> list[tuple[int, list[int]]]:
-    """Depth-first over fillings and how often each is repeated, largest piece first, within the waste that a better packing allows.
+def branch(counts: Sequence[int], capacity: int, goal: int, best: list[Pattern], budget: Budget) -> list[Pattern]:
+    """Depth-first over the completions of the largest piece and how often each is repeated.
 
-    A filling that is repeated as often as it can be uses up a length, so a
+    Pruned are completions that waste more than a better packing may, and states
+    whose rest cannot be packed in fewer bins than the best packing leaves.  A
+    completion that is repeated as often as it can be uses up a length, so a
     descent takes at most `capacity` nodes however many pieces there are.
     """
-    left, spent, volume = _Left(counts), nodes, sum(i * c for i, c in enumerate(counts))
-
-    def take(lengths: list[int], k: int) -> None:
-        for x in lengths:
-            left.take(x, k)
-        if k < 0:
-            left.down = list(range(len(left.n)))
-
-    def options() -> Iterator[tuple[int, int, list[int]]]:
-        big = left.at_most(capacity)
-        take([big], 1)
-        fillings = completions(left, capacity - big, (least - 1) * capacity - volume - waste, 200, True)
-        if not fillings:
-            add = _greedy(left, capacity - big)
-            fillings = [(capacity - big - sum(add), add)]
-        take([big], -1)
+    stock, volume = Stock(counts), sum(i * c for i, c in enumerate(counts))
+    made: list[Pattern] = []
+    size, waste, least = 0, 0, bins(best)
+
+    def options() -> Iterator[tuple[int, int, Filling]]:
+        if size + lower_bound(stock.n, capacity) >= least:
+            return
+        big = stock.at_most(capacity)
+        stock.take(((big, 1),))
+        fillings, whole = completions(stock, capacity - big, (least - 1) * capacity - volume - waste, budget)
+        if not fillings and not whole:
+            add = greedy(stock, capacity - big)
+            fillings = [(capacity - big - sum(x * k for x, k in add), add)]
+        stock.take(((big, -1),))
         for lost, add in fillings:
-            lengths = [big, *add]
-            times = min(left.n[x] // k for x, k in Counter(lengths).items())
+            filling = whole_bin(big, add)
+            times = repeats(stock, filling)
             while times:
-                yield times, lost, lengths
+                yield times, lost, filling
                 times //= 2
 
-    made: list[tuple[int, list[int]]] = []
-    size, waste, least = 0, 0, bins(best)
-    stack = [options()] if left.at_most(capacity) else []
-    while stack and spent > 0:
+    stack = [options()] if stock.mask else []
+    while stack and budget.left > 0:
         step = next(stack[-1], None)
         if step:
-            times, lost, lengths = step
+            times, lost, filling = step
             if waste + times * lost > (least - 1) * capacity - volume:  # no better than the best one
                 continue
-            spent -= 1
-            take(lengths, times)
-            made.append((times, lengths))
+            budget.left -= NODE
+            stock.take(filling, times)
+            made.append((times, filling))
             size, waste = size + times, waste + times * lost
-            if left.at_most(capacity):
+            if stock.mask:
                 stack.append(options())
                 continue
             if size < least:
@@ -323,25 +358,25 @@ def _branch(counts: Sequence[int], capacity: int, goal: int, best: list, nodes:
         else:
             stack.pop()
         if made:
-            times, lengths = made.pop()
-            take(lengths, -times)
-            size, waste = size - times, waste - times * (capacity - sum(lengths))
+            times, filling = made.pop()
+            stock.take(filling, -times)
+            size, waste = size - times, waste - times * (capacity - sum(x * k for x, k in filling))
     return best
 
 
-def places(patterns: Sequence[tuple[int, list[int]]]) -> np.ndarray:
-    """Rows (length, lo, hi, first sequence, offset): ranks lo..hi-1 of a length go to one place of consecutive sequences."""
+def places(patterns: Sequence[Pattern]) -> np.ndarray:
+    """Rows (length, lo, hi, first sequence, pieces a sequence, offset): ranks lo..hi-1 of a length go, so many to each, to consecutive sequences."""
     used: dict[int, int] = {}
     rows, base = [], 0
-    for times, lengths in patterns:
+    for times, filling in patterns:
         offset = 0
-        for x in lengths:
+        for x, k in filling:
             lo = used.get(x, 0)
-            rows.append((x, lo, lo + times, base, offset))
-            used[x] = lo + times
-            offset += x
+            rows.append((x, lo, lo + k * times, base, k, offset))
+            used[x] = lo + k * times
+            offset += x * k
         base += times
-    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -363,9 +398,10 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 continue
             length = b.column("length").to_numpy(zero_copy_only=False)
             rank = b.column("_rank").to_numpy(zero_copy_only=False)
-            row = table[np.searchsorted(first, length * stride + rank, side="right") - 1]
+            _, lo, _, base, each, offset = table[np.searchsorted(first, length * stride + rank, side="right") - 1].T
+            bin_, within = np.divmod(rank - lo, each)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])],
+                [*[b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(base + bin_), pa.array(offset + within * length)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 

@@ -484,32 +484,91 @@ def test_op10_words_encode_as_the_library_does():
         assert np.frombuffer(mine(t.encode()), dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def check_packing(counts, capacity):
+    patterns = bin_completion.pack(counts, capacity)
+    used = Counter()
+    for t, filling in patterns:
+        assert t > 0 and sum(x * k for x, k in filling) <= capacity
+        for x, k in filling:
+            used[x] += k * t
+    assert all(used[x] == c for x, c in enumerate(counts))
+    n = bin_completion.bins(patterns)
+    assert bin_completion.lower_bound(counts, capacity) <= n <= bin_completion.bins(bin_completion.best_fit(counts, capacity))
+    return n
+
+
+def histogram(lengths, capacity):
+    counts = [0] * (capacity + 1)
+    for x in lengths:
+        counts[x] += 1
+    return counts
+
+
+def fewest(lengths, capacity):
+    """Bins of an optimal packing, by trying all."""
+    best = len(lengths)
+
+    def go(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(lengths):
+            best = len(free)
+            return
+        for j in {f: j for j, f in enumerate(free) if f >= lengths[i]}.values():
+            go(i + 1, [f - (j == m) * lengths[i] for m, f in enumerate(free)])
+        go(i + 1, [*free, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    go(0, [])
+    return best
+
+
 def test_op10_search_beats_best_fit():
     # Best fit needs three bins of ten here, two suffice.
-    counts = [0] * 11
-    for x in (5, 4, 4, 3, 2, 2):
-        counts[x] += 1
-    assert bin_completion.bins(bin_completion.pack(counts, 10)) == 2 == bin_completion.lower_bound(counts, 10)
+    counts = histogram((5, 4, 4, 3, 2, 2), 10)
+    assert check_packing(counts, 10) == 2 < bin_completion.bins(bin_completion.best_fit(counts, 10))
     rng = random.Random(4)
     for _ in range(30):
-        counts = [0] * 101
-        for _ in range(40):
-            counts[rng.randrange(5, 70)] += 1
-        patterns = bin_completion.pack(counts, 100)
-        used = Counter(x for t, p in patterns for x in p for _ in range(t))
-        assert all(used[x] == c for x, c in enumerate(counts)) and all(sum(p) <= 100 for _, p in patterns)
-        assert bin_completion.bins(patterns) >= bin_completion.lower_bound(counts, 100)
+        check_packing(histogram([rng.randrange(5, 70) for _ in range(40)], 100), 100)
+
+
+def test_op10_small_packings_are_optimal():
+    rng = random.Random(6)
+    for _ in range(60):
+        lengths = [rng.randrange(8, 60) for _ in range(11)]
+        assert check_packing(histogram(lengths, 100), 100) == fewest(lengths, 100), lengths
+
+
+def test_op10_triplets_are_found():
+    # Bins of three pieces each that fill them exactly: best fit needs four or more bins too many.
+    for seed in range(3):
+        rng, lengths = random.Random(seed), []
+        for _ in range(20):
+            a = rng.randrange(380, 490)
+            b = rng.randrange(250, min(a, 750 - a))
+            lengths += [a, b, 1000 - a - b]
+        counts = histogram(lengths, 1000)
+        assert check_packing(counts, 1000) == 20 < bin_completion.bins(bin_completion.best_fit(counts, 1000))
 
 
 def test_op10_search_has_no_limit_of_pieces():
-    # 500 times 15 lengths that fill five bins of 100: best fit and least-waste fillings need 2,584 bins.
+    # 500 times 15 lengths that fill five bins of 100: best fit needs 2,834 bins.
     some = {27: 2, 29: 1, 30: 2, 31: 2, 32: 1, 33: 2, 34: 1, 38: 1, 40: 1, 42: 1, 43: 1}
-    counts = [500 * some.get(x, 0) for x in range(101)]
-    patterns = bin_completion.pack(counts, 100)
-    used = Counter()
-    for t, p in patterns:
-        assert sum(p) <= 100
-        for x in p:
-            used[x] += t
-    assert all(used[x] == c for x, c in enumerate(counts))
-    assert bin_completion.bins(patterns) == 2500 == bin_completion.lower_bound(counts, 100)
+    assert check_packing([500 * some.get(x, 0) for x in range(101)], 100) == 2500
+    rng = random.Random(9)
+    assert check_packing(histogram([rng.randrange(1367, 2049) for _ in range(2000)], 4096), 4096) == 1000  # two a bin
+    assert check_packing(histogram([rng.randrange(1367, 2049) for _ in range(100_000)], 4096), 4096) == 50_000
+    many = [0] * 4097
+    many[3], many[7], many[5], many[1] = 5000, 9000, 111, 100_000  # hundreds of pieces a bin, and thousands
+    assert check_packing(many, 4096) == bin_completion.lower_bound(many, 4096)
+
+
+def test_op10_dominance():
+    stock = bin_completion.Stock(histogram((9, 7, 4, 3, 3, 2), 10))
+    assert bin_completion.dominated(stock, ((4, 1),), 3)  # a 3 still fits
+    assert bin_completion.dominated(stock, ((4, 1), (2, 1)), 1)  # the 7 stands in for both
+    assert bin_completion.dominated(stock, ((4, 1), (3, 1)), 0)  # and for 4 and 3
+    assert not bin_completion.dominated(stock, ((7, 1),), 0)
+    found, whole = bin_completion.completions(stock, 7, 7, bin_completion.Budget(1000))
+    assert whole and found[0] == (0, ((7, 1),))
