@@ -1,17 +1,23 @@
 """Personal data: base patterns, then bootstrapped contextual extraction; DataFrame functions only.
 
-Seeds are the entities that the base patterns find.  The words before a seed
-are its lexical patterns.  Patterns and instances (identifier-like strings,
-seeds and others) form a graph, scored in rounds: a pattern is as good as its
-instances are, on average, of one kind; an instance is of a kind if one of its
-patterns says so.  Patterns of high confidence then mark instances that the
-base patterns missed, where their shape allows the kind.
+Seeds are the entities that the base patterns find.  What stands around a seed
+and how it is built are its lexical patterns: the word before it, the two words
+before it, the word after it, the words on both sides, and its shape.  Patterns
+and instances (seeds, and runs of identifier-like words that no base span
+overlaps) form a graph, scored in rounds: a pattern is as good as its instances
+are, on average, of one kind; an instance is of a kind if one of its patterns
+says so; what a round finds supports patterns of the next.  Patterns of high
+confidence then mark instances that the base patterns missed: by context where
+the string could be of the kind, by shape alone or as a string that is a seed
+elsewhere only where it passes the kind's own checks.
 
 Starts and ends count code points.  Base spans stay as they are; found ones
-never overlap them.
+overlap neither them nor each other: the most confident comes first, then the
+longest, the leftmost, and the kind by its place in KINDS.
 
-Cases: null text counts as empty; repeated rows get a row each; an empty table
-gives an empty result.
+Cases: null text counts as empty; repeated rows get a row each; very long texts
+are read whole; other columns may have any names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cleared, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -36,8 +42,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-#: An identifier-like string: a word with a digit or an @, and groups of digits that follow it.
-INSTANCE = r"(?:\G|(?<![^\s]))[^\s0-9@]*+[0-9@][^\s]*+(?:\x20[().-]*+[0-9][0-9().-]*+(?![^\s]))*+"
+#: An identifier-like word: one with a digit or an @, or an address with the @ spelled in brackets.
+AT, DOT = r"\x20?[(\[]at[)\]]\x20?", r"(?:\x20?[(\[]dot[)\]]\x20?|\.)"
+SPELLED = rf"[{LOCAL}]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++"
+INSTANCE = rf"(?:\G|(?<![^\s]))(?:{SPELLED}|[^\s0-9@]*+[0-9@][^\s]*+)"
+RUN = 6  # words of an instance at most, as in +33 1 23 45 67 89
 
 
 def digits(m: Column) -> Column:
@@ -83,17 +92,20 @@ def named(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+MATCH = "array<struct<s:int,e:int,m:string,left:string,right:string>>"
+
+
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m, left>> of the leftmost non-overlapping matches; left: the text between the last match and this one.
+    """array<struct<s, e, m, left, right>> of the leftmost non-overlapping matches; left, right: the texts up to its neighbours.
 
     The pieces between matches and the matches alternate, so starts are running
     sums of their lengths, taken by blocks to stay near linear on long texts.
     """
-    pairs = F.arrays_zip(
-        F.split(text, pattern, -1).alias("left"),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: m).alias("m"),
-    )
-    matches = F.filter(pairs, lambda p: p["m"].isNotNull())
+    pieces = F.split(text, pattern, -1)
+
+    def pairs(ls: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m, i: F.struct(F.get(ls, i).alias("left"), m.alias("m"), F.get(ls, i + 1).alias("right")))
 
     def place(ps: Column) -> Column:
         def both(p: Column) -> Column:
@@ -108,94 +120,179 @@ def located(text: Column, pattern: str) -> Column:
             b = F.floor(i / BLOCK).cast("int")
             before = F.aggregate(F.slice(ps, b * BLOCK + 1, i - b * BLOCK), F.get(base, b), add)
             s = before + F.length(p["left"])
-            return F.struct(s.alias("s"), (s + F.length(p["m"])).alias("e"), p["m"].alias("m"), p["left"].alias("left"))
+            return F.struct(s.alias("s"), (s + F.length(p["m"])).alias("e"), p["m"].alias("m"), p["left"].alias("left"), p["right"].alias("right"))
 
         return named(begin, lambda base: F.transform(ps, lambda p, i: one(p, i, base)))
 
-    kind = "array<struct<s:int,e:int,m:string,left:string>>"
-    return named(matches, lambda ps: F.when(F.size(ps) == 0, F.array().cast(kind)).otherwise(place(ps).cast(kind)))
+    placed = named(named(pieces, pairs), lambda ps: F.when(F.size(ps) == 0, F.array().cast(MATCH)).otherwise(place(ps).cast(MATCH)))
+    return placed
+
+
+BLANKS = "\t\n\x0b\x0c\r"
+
+
+def plain(text: Column) -> Column:
+    """Lower case, digits alike, all white space blanks."""
+    return F.lower(F.translate(text, "012345678" + BLANKS, "9" * 9 + " " * len(BLANKS)))
+
 
+def last_words(left: Column) -> Column:
+    """The last two words of what stands left, whole, however long they are."""
+    return F.trim(F.substring_index(F.rtrim(plain(left)), " ", -2))
 
-def contexts(left: Column) -> Column:
-    """Lexical patterns of what stands left: the last word, and the last two."""
-    tail = F.lower(F.substring(left, -48, 48))
-    two = F.regexp_extract(tail, r"([^\s]*)\s+([^\s]+)\s*$", 0)
-    one = F.regexp_extract(tail, r"([^\s]+)\s*$", 1)
-    pair = F.trim(F.regexp_replace(two, r"\s+", " "))
-    return F.filter(F.array_distinct(F.array(one, pair)), lambda p: p != "")
+
+def first_word(right: Column) -> Column:
+    return F.substring_index(F.ltrim(plain(right)), " ", 1)
+
+
+def shape(m: Column) -> Column:
+    """Digits alike, runs of letters alike, white space blanks."""
+    return F.regexp_replace(plain(m), "[a-z]+", "a")
+
+
+def patterns(m: Column, l: Column, r: Column) -> Column:  # noqa: E741
+    """The lexical patterns of a string between two last words and a first word."""
+    word = F.substring_index(l, " ", -1)
+    left, two, right = F.when(word != "", F.concat(F.lit("L "), word)), F.when(l != word, F.concat(F.lit("LL "), l)), F.when(r != "", F.concat(F.lit("R "), r))
+    around = F.when((word != "") & (r != ""), F.concat(F.lit("LR "), word, F.lit(" "), r))
+    return F.array_compact(F.array(F.concat(F.lit("S "), shape(m)), left, two, right, around))
 
 
 def fits(kind: Column, m: Column) -> Column:
-    """Whether a string that no base pattern took can be of a kind."""
+    """Whether a string that no base pattern took can be of a kind, if its context says so."""
     n = F.length(digits(m))
     return (
-        F.when(kind == "email", m.contains("@") & m.rlike("[A-Za-z]"))
-        .when(kind == "ip", m.rlike(r"^[^0-9]*[0-9]+([.:][0-9]+){3}[^0-9]*$"))
-        .when(kind == "card", n.between(12, 19))
-        .otherwise(n.between(7, 15))
+        F.when(kind == "email", m.rlike(rf"(?:@|{AT})") & m.rlike("[A-Za-z]"))
+        .when(kind == "ip", m.rlike(r"^[0-9]+(?:[.:,][0-9]+){3}$"))
+        .when(kind == "card", n.between(12, 19) & m.rlike(r"^[0-9\x20.-]+$"))
+        .otherwise(n.between(7, 15) & m.rlike(r"^[+(]*[0-9][0-9\x20()./-]+$"))
     )
 
 
+def passes(kind: Column, m: Column) -> Column:
+    """Whether a string is of a kind by the kind's own form and checks."""
+    form = {k: F.regexp_extract(m, "^" + PATTERNS[k].replace(r"(?:\G|(?<![0-9]))", "").replace(rf"(?:\G|(?<![{LOCAL}]))", "") + "$", 0) != "" for k in KINDS}
+    out = F.lit(False)
+    for k in KINDS:
+        out = F.when((kind == k) & form[k], valid(k, m)).otherwise(out)
+    return out
+
+
+def runs(words: Column) -> Column:
+    """array<struct<s, e, m, l, r>> of every run of up to RUN neighbouring identifier-like words that could be of a kind.
+
+    Neighbours stand one white space apart; marks of punctuation around a run are not part of it.
+    """
+
+    def run(ws: Column, i: Column, j: Column) -> Column:
+        part = F.slice(ws, i + 1, j + 1)
+        first, last, before, after = F.get(ws, i), F.get(ws, i + j), F.get(ws, i - 1), F.get(ws, i + j + 1)
+        m = F.array_join(F.transform(part, lambda w: w["m"]), " ")
+        lead = F.length(F.regexp_extract(m, r"""^["'<\[]*""", 0))
+        tail = F.length(F.regexp_extract(m, r"""[.,;:!?"'>\]]*$""", 0))
+        left = F.when(F.trim(plain(first["left"])) != "", last_words(first["left"])).otherwise(F.coalesce(plain(before["m"]), F.lit("")))
+        right = F.when(F.trim(plain(last["right"])) != "", first_word(last["right"])).otherwise(F.coalesce(plain(after["m"]), F.lit("")))
+        whole = (last["e"] - first["s"]) == F.length(m)  # gaps of one sign each
+        inner = F.substring(m, lead + 1, F.length(m) - lead - tail)
+        out = F.struct((first["s"] + lead).alias("s"), (last["e"] - tail).alias("e"), inner.alias("m"), left.alias("l"), right.alias("r"))
+        return F.when(whole & (F.length(m) > lead + tail), out)
+
+    def every(ws: Column) -> Column:
+        n = F.size(ws)
+        steps = lambda i: F.sequence(F.lit(0), F.least(F.lit(RUN), n - i) - 1)
+        some = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(steps(i), lambda j: run(ws, i, j))))
+        return F.filter(some, lambda x: x.isNotNull() & F.exists(F.array(*[F.lit(k) for k in KINDS]), lambda k: fits(k, x["m"])))
+
+    return named(words, lambda ws: F.when(F.size(ws) > 0, every(ws)).otherwise(F.array().cast(OTHERS)))
+
+
+OTHERS = "array<struct<s:int,e:int,m:string,l:string,r:string>>"
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, s, e, left, m) and others (identifier-like strings that no base span overlaps)."""
+    """doc_id, base (s, k, e, m, l, r) and others (s, e, m, l, r: runs of identifier-like words that no base span overlaps)."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,left:string>>")
+    none = F.array().cast(MATCH)
     for k in KINDS:
         found = F.when(F.col("text").rlike(NEEDS[k]), located(F.col("text"), PATTERNS[k])).otherwise(none)
         d = d.withColumn(k, F.filter(found, holds(k)))
-    d = d.withColumn("_i", F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), INSTANCE)).otherwise(none))
-    tail = lambda x: F.substring(x["left"], -48, 48).alias("left")
-    row = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), x["e"].alias("e"), x["m"].alias("m"), tail(x)))
-    d = d.withColumn("base", F.sort_array(F.concat(*[row(k) for k in KINDS])))
+    words = F.when(F.col("text").rlike(rf"[0-9@]|{AT}"), located(F.col("text"), INSTANCE)).otherwise(none)
+
+    def seed(k: int) -> Callable[[Column], Column]:
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"), last_words(x["left"]).alias("l"), first_word(x["right"]).alias("r"))
+
+    base = F.sort_array(F.concat(*[F.transform(kind, seed(k)) for k, kind in enumerate(KINDS)]))
+    d = d.withColumn("base", base).withColumn("_i", words)
     free = lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-    other = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), tail(x))
-    shaped = F.filter("_i", lambda x: x["m"].contains("@") | (F.length(digits(x["m"])) >= 7))
-    return d.select("doc_id", "base", F.transform(F.filter(shaped, free), other).alias("others"))
+    return d.select("doc_id", "base", F.filter(runs(F.filter("_i", free)), free).cast(OTHERS).alias("others"))
 
 
 def score(seen: DataFrame, rounds: int = 3, least: int = 5, smooth: float = 0.5) -> DataFrame:
-    """pattern, kind, confidence, support of every pattern with enough seeds.
+    """pattern, kind, confidence, support of every pattern with enough instances of a kind.
 
-    seen: pattern, inst (hash of an instance), kind (of a seed, else null), one
-    row per distinct triple.
+    seen: pattern, inst (hash of an instance), kind (of a seed, else null).  In
+    each round a pattern's confidence in a kind is the sum of its instances'
+    scores over their number plus `smooth`, if `least` of them score above one
+    half; an instance that is no seed scores 1 - prod(1 - confidence).
     """
     graph = seen.select("pattern", "inst").distinct()
-    size = graph.groupBy("pattern").agg(F.count("*").alias("size"))
-    seeds = seen.filter("kind is not null").select("inst", "kind").distinct().withColumn("s", F.lit(1.0))
-    support = seen.filter("kind is not null").groupBy("pattern", "kind").agg(F.countDistinct("inst").alias("support"))
-    frame = written(support.filter(F.col("support") >= least).join(size, "pattern"), "op3-frame")
-    graph = written(graph.join(frame.select("pattern").distinct(), "pattern", "left_semi"), "op3-graph")
-    seeds = written(seeds, "op3-seeds")
-    inst = seeds
+    size = graph.groupBy("pattern").agg(F.count("*").alias("size")).filter(F.col("size") >= least)  # fewer can never support
+    graph = written(graph.join(size, "pattern"), "op3-graph")
+    seeds = written(seen.filter("kind is not null").select("inst", "kind").distinct().withColumn("s", F.lit(1.0)), "op3-seeds")
+    inst, pat = seeds, None
     for r in range(rounds):
-        mass = graph.join(inst, "inst").groupBy("pattern", "kind").agg(F.sum("s").alias("mass"))
-        pat = frame.join(mass, ["pattern", "kind"]).withColumn("confidence", F.least(F.lit(1.0), F.col("mass") / (F.col("size") + smooth)))
-        pat = written(pat.select("pattern", "kind", "confidence", "support", "size"), "op3-patterns")
+        mass = graph.join(inst, "inst").groupBy("pattern", "kind").agg(F.sum("s").alias("mass"), F.count_if(F.col("s") > 0.5).alias("support"), F.first("size").alias("size"))
+        found = mass.filter(F.col("support") >= least).withColumn("confidence", F.least(F.lit(1.0), F.col("mass") / (F.col("size") + smooth)))
+        pat = written(found.select("pattern", "kind", "confidence", "support"), "op3-patterns")
         if r < rounds - 1:
             open_ = graph.join(seeds.select("inst").distinct(), "inst", "left_anti").join(pat, "pattern")
             told = open_.groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("s"))
             inst = seeds.unionByName(written(told, "op3-instances"))
-    return pat.select("pattern", "kind", "confidence", "support")
+    return pat
+
+
+SPAN = "array<struct<s:int,k:int,e:int>>"
+
+
+def apart(spans: Column) -> Column:
+    """Of spans (rank, s, k, e), sorted by rank, those that overlap none before them."""
+
+    def add(a: Column, x: Column) -> Column:
+        y = F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
+        return F.when(F.exists(a, lambda z: (z["s"] < x["e"]) & (x["s"] < z["e"])), a).otherwise(F.concat(a, F.array(y)))
+
+    return F.aggregate(F.sort_array(spans), F.array().cast(SPAN), add)
 
 
 def personal_data(docs: DataFrame, confidence: float = 0.9, rounds: int = 3, least: int = 5) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found; one row per row of docs."""
     rows = written(base_spans(docs).withColumn("_rid", F.monotonically_increasing_id()), "op3-spans")
-    name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("x.k") + 1)
-    seeds = rows.select(F.explode("base").alias("x")).select(F.explode(contexts(F.col("x.left"))).alias("pattern"), F.xxhash64("x.m").alias("inst"), name.alias("kind"))
-    others = rows.select("_rid", F.explode("others").alias("x"))
-    told = others.select("_rid", "x", F.explode(contexts(F.col("x.left"))).alias("pattern"))
-    seen = seeds.unionByName(told.select("pattern", F.xxhash64("x.m").alias("inst"), F.lit(None).cast("string").alias("kind"))).distinct()
-    good = written(score(seen, rounds, least).filter(F.col("confidence") >= confidence), "op3-confident")
-    hit = told.join(good, "pattern").filter(fits(F.col("kind"), F.col("x.m")))
-    # Of several kinds for one string the most confident one counts.
-    best = hit.groupBy("_rid", F.col("x.s").alias("s"), F.col("x.e").alias("e")).agg(F.max(F.struct("confidence", "kind")).alias("b"))
-    k = F.array_position(F.array(*[F.lit(x) for x in KINDS]), F.col("b.kind")).cast("int") - 1
-    found = best.groupBy("_rid").agg(F.collect_list(F.struct("s", k.alias("k"), "e")).alias("found"))
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    of = lambda k: F.element_at(kinds, k + 1)
+    with cleared() as keep:
+        seeds = rows.select(F.explode("base").alias("x"))
+        named_ = seeds.select(F.explode(patterns(F.col("x.m"), F.col("x.l"), F.col("x.r"))).alias("pattern"), F.xxhash64(plain_blanks(F.col("x.m"))).alias("inst"), of(F.col("x.k")).alias("kind"))
+        others = rows.select("_rid", F.explode("others").alias("x")).withColumn("inst", F.xxhash64(plain_blanks(F.col("x.m"))))
+        told = others.select("_rid", "x", "inst", F.explode(patterns(F.col("x.m"), F.col("x.l"), F.col("x.r"))).alias("pattern"))
+        seen = named_.unionByName(told.select("pattern", "inst", F.lit(None).cast("string").alias("kind"))).distinct()
+        good = written(score(seen, rounds, least).filter(F.col("confidence") >= confidence), "op3-confident")
+        m = F.col("x.m")
+        allowed = F.when(F.col("pattern").startswith("S "), passes(F.col("kind"), m)).otherwise(fits(F.col("kind"), m))
+        hit = told.join(good, "pattern").filter(allowed).select("_rid", "x", "kind", "confidence")
+        known = seeds.select(F.xxhash64(plain_blanks(m)).alias("inst"), of(F.col("x.k")).alias("kind")).distinct()
+        hit = hit.unionByName(others.join(known, "inst").filter(passes(F.col("kind"), m)).select("_rid", "x", "kind", F.lit(1.0).alias("confidence")))
+        best = hit.groupBy("_rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), "kind").agg(F.max("confidence").alias("c"))
+        k = (F.array_position(kinds, F.col("kind")) - 1).cast("int")
+        rank = F.struct((-F.col("c")).alias("c"), (F.col("s") - F.col("e")).alias("n"), F.col("s"), k.alias("k"), F.col("e"))
+        found = keep(written(best.groupBy("_rid").agg(apart(F.collect_list(rank)).alias("found")), "op3-found"))
     d = rows.join(found, "_rid", "left")
-    plain = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    every = F.sort_array(F.concat(plain, F.coalesce("found", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
-    kinds = F.array(*[F.lit(x) for x in KINDS])
-    text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    every = F.sort_array(F.concat(base, F.coalesce("found", F.array().cast(SPAN))))
+    text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", of(x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
     counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return d.select("doc_id", *counts, F.sha2(text(plain), 256).alias("base_sha256"), text(every).alias("spans"), F.coalesce(F.size("found"), F.lit(0)).alias("n_found"))
+    return d.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(every).alias("spans"), F.coalesce(F.size("found"), F.lit(0)).alias("n_found"))
+
+
+def plain_blanks(m: Column) -> Column:
+    """A string with all white space as blanks, by which instances are told apart."""
+    return F.translate(m, BLANKS, " " * len(BLANKS))

@@ -157,6 +157,90 @@ def test_op3_base_and_found(spark, empty, tmp_path):
     assert bootstrapped_pii.personal_data(empty).count() == 0
 
 
+def graph_scores(seen, rounds, least, smooth):
+    graph, seeds = defaultdict(set), defaultdict(set)
+    for p, i, k in seen:
+        graph[p].add(i)
+        if k:
+            seeds[i].add(k)
+    graph = {p: x for p, x in graph.items() if len(x) >= least}
+    score, pat = {(i, k): 1.0 for i, ks in seeds.items() for k in ks}, {}
+    for _ in range(rounds):
+        pat = {}
+        for p, x in graph.items():
+            for k in bootstrapped_pii.KINDS:
+                got = [score[i, k] for i in x if (i, k) in score]
+                if sum(v > 0.5 for v in got) >= least:
+                    pat[p, k] = (min(1.0, sum(got) / (len(x) + smooth)), sum(v > 0.5 for v in got))
+        score = {(i, k): 1.0 for i, ks in seeds.items() for k in ks}
+        for i in {i for x in graph.values() for i in x} - set(seeds):
+            for k in bootstrapped_pii.KINDS:
+                miss, hit = 1.0, False
+                for p, x in graph.items():
+                    if i in x and (p, k) in pat:
+                        miss, hit = miss * (1 - min(pat[p, k][0], 0.999)), True
+                if hit:
+                    score[i, k] = 1 - miss
+    return pat
+
+
+def test_op3_graph_scores_are_those_of_brute_force(spark):
+    rng = random.Random(21)
+    kind = {i: rng.choice(["email", "phone", None, None]) for i in range(120)}
+    seen = {(f"p{rng.randrange(25) if k is None else rng.randrange(10) + 10 * (k == 'phone')}", i, k) for _ in range(700) for i in [rng.randrange(120)] for k in [kind[i]]}
+    got = bootstrapped_pii.score(spark.createDataFrame(list(seen), "pattern string, inst long, kind string"), 4, 3, 0.5).collect()
+    want = graph_scores(seen, 4, 3, 0.5)
+    assert {(r.pattern, r.kind) for r in got} == set(want) and len(want) > 10
+    for r in got:
+        assert r.confidence == pytest.approx(want[r.pattern, r.kind][0]) and r.support == want[r.pattern, r.kind][1]
+    # What one round finds supports patterns of the next.
+    chain = [("a", i, "phone") for i in range(9)] + [("a", i, None) for i in range(20, 21)] + [("b", i, "phone") for i in range(2)] + [("b", 20, None)]
+    frame = spark.createDataFrame(chain, "pattern string, inst long, kind string")
+    assert "b" not in {r.pattern for r in bootstrapped_pii.score(frame, 1, 3).collect()} and "b" in {r.pattern for r in bootstrapped_pii.score(frame, 2, 3).collect()}
+
+
+def test_op3_unseen_identifiers_are_found_and_others_left(spark, tmp_path):
+    rng = random.Random(22)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda: next(d for _ in range(1000) if LUHN(d := "4" + digits(15)))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+
+    def add(text, span=None):
+        if span:
+            at = text.index(span[1])
+            planted[len(rows)] = {f"{span[0]}:{at}:{at + len(span[1])}"}
+        rows.append((len(rows), text))
+
+    for _ in range(30):
+        add(f"{say(5)} mailto: {word()}@{word()}.com {say(4)}")
+        add(f"{say(5)} hotline +1 ({digits(3)}) 555-{digits(4)} {say(4)}")
+        add(f"{say(5)} billed to {card()} {say(4)}")
+        add(f"{say(5)} server 10.{rng.randrange(255)}.3.{rng.randrange(255)} answered {say(4)}")
+        add(f"{say(5)} order {digits(13)}x {say(3)} ref {digits(4)} {say(2)} section {digits(2)}.{digits(1)} {say(3)}")
+    for _ in range(6):
+        long = "z" * 60
+        x = f"{word()} (at) {word()} (dot) org"
+        add(f"{say(3)} {long} mailto: {x} {say(3)}", ("email", x))
+        x = f"0{digits(2)} 555 {digits(4)}"
+        add(f"{say(5)} hotline {x} {say(3)}", ("phone", x))
+        x = f"10:{rng.randrange(255)}:3:{rng.randrange(255)}"
+        add(f"{say(3)} server {x} answered {say(3)}", ("ip", x))
+        x = f"+1 ({digits(3)}) 555-{digits(4)}"
+        add(f"{say(5)} {x} 10.2.3.{rng.randrange(255)} {say(3)}", ("phone", x))  # the base pattern runs on into the address
+        x = card()
+        add(f"{say(4)}, {x} {'9' * 16} {say(3)}", ("card", x))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    right = found = 0
+    for r in bootstrapped_pii.personal_data(spark.read.parquet(path)).collect():
+        new = set(filter(None, r.spans.split(","))) - set(filter(None, base_spans(rows[r.doc_id][1]).split(",")))
+        assert len(new) == r.n_found
+        right, found = right + len(new & planted.get(r.doc_id, set())), found + len(new)
+    assert right >= 0.9 * len(planted) and right >= 0.9 * found, (right, found, len(planted))
+
+
 def test_op4_mix(docs, rows, empty):
     got = curriculum_mix.curriculum(docs).collect()
     again = curriculum_mix.curriculum(docs).collect()
