@@ -15,12 +15,15 @@ them: its letters come as often as in the nearest language, but without the
 order of one (`TextModel.other`).  Where it wins, the document is rejected.
 
 Counts are grouped aggregations over all rows; only tables with one row per
-(language, trigram bucket), (language, language) or (suffix, language) reach
-the driver.  Host priors stay a table and are joined.
+(language, trigram bucket) or (language, language) reach the driver, for `most`
+languages.  What hosts and suffixes say stays a table and is joined.
 
 Cases: null or empty text, or text without letters, has no text evidence and is
 rejected; null declared language, suffix or host say nothing; every declared
-language is modelled, unless none of its texts has letters; an empty table, or
+language is modelled, unless none of its texts has letters or `most` others have
+more documents (what it declares then says nothing); of languages of equal
+posterior the first in code point order wins; repeated rows get a row each; very
+long texts are read whole; other columns may have any names; an empty table, or
 one without any declared language, gives null languages and rejects all.
 """
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import drop_written, texts, written
 
 BITS = 16
 OTHER = 0.02  # prior of a text in none of the languages
@@ -107,14 +110,14 @@ class TextModel:
         return self.logp[:, t].sum(axis=1, dtype=np.float64) if len(t) else None
 
 
-def fit_text(docs: DataFrame, sample: int = 4000, least: int = 1) -> TextModel:
+def fit_text(docs: DataFrame, sample: int = 4000, least: int = 1, most: int = 256) -> TextModel:
     """docs: id, text, declared.  Fits on about `sample` rows of each declared language, those whose hash falls under that share.
 
     No row is moved or sorted for it, and a language with `sample` rows or fewer gives all of them, so none is
-    lost however small its share; those with fewer than `least` rows are left out.
+    lost however small its share; those with fewer than `least` rows, or with fewer than `most` others have, are left out.
     """
     rows = docs.filter(F.col("declared").isNotNull() & F.col("text").isNotNull())
-    sizes, span = rows.groupBy("declared").count(), 1 << 40  # a row per language
+    sizes, span = rows.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most), 1 << 40
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")) * F.lit(float(span))
     sizes = sizes.select(F.col("declared").alias("_of"), share.alias("_share"))
     chosen = rows.join(F.broadcast(sizes), F.col("declared") == F.col("_of")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < F.col("_share"))
@@ -167,57 +170,60 @@ def text_labels(docs: DataFrame, model: TextModel) -> DataFrame:
 
 
 def table_of(df: DataFrame, row: str, languages: Sequence[str]) -> dict[str, np.ndarray]:
-    """Counts by (row, said) as arrays; df has few rows by construction."""
-    got = df.groupBy(row, "said").agg(F.sum("n").alias("n")).filter(F.col(row).isNotNull() & F.col("said").isNotNull()).toPandas()
+    """Counts by (row, said) for rows that are languages themselves, as arrays."""
+    got = df.filter(F.col(row).isin(list(languages)) & F.col("said").isNotNull()).groupBy(row, "said").agg(F.sum("n").alias("n")).toPandas()
     out: dict[str, np.ndarray] = {}
     for r in got.itertuples(index=False):
-        if r[1] in languages:
-            out.setdefault(r[0], np.zeros(len(languages)))[languages.index(r[1])] = r[2]
+        out.setdefault(r[0], np.zeros(len(languages)))[languages.index(r[1])] = r[2]
     return out
 
 
-def host_priors(counts: DataFrame, languages: Sequence[str], strength: float = 10.0) -> DataFrame:
-    """host, prior (array by language): host counts smoothed towards the suffix's, those towards the corpus'."""
+def places(counts: DataFrame, languages: Sequence[str], strength: float = 10.0) -> DataFrame:
+    """_host, _suffix, prior (array by language), says (the suffix's log likelihood by language, and in no language at last; null for a null suffix).
+
+    Host counts are smoothed towards the suffix's, those towards the corpus'.
+    """
     n = F.col("n").cast("double")
     cols = [F.coalesce(F.sum(F.when(F.col("said") == x, n)), F.lit(0.0)) for x in languages]
     by = lambda keys, name: counts.groupBy(*keys).agg(F.array(*cols).alias(name))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
     def smooth(own: str, above: Column) -> Column:
-        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own, above, lambda x, p: (x + F.lit(strength) * p) / (total + F.lit(strength)))
+        return F.zip_with(own, above, lambda x, p: (x + F.lit(strength) * p) / (total(own) + F.lit(strength)))
 
     flat = F.array(*[F.lit(1.0 / len(languages))] * len(languages))
     world = by([], "w").select(smooth("w", flat).alias("w"))
-    suffix = by(["suffix"], "s").crossJoin(F.broadcast(world)).select(F.col("suffix").alias("_sx"), smooth("s", F.col("w")).alias("s"))
+    known = counts.filter("suffix is not null").agg(F.array(*cols).alias("all"), F.count_distinct("suffix").alias("kinds"))
+    share = lambda c, of: F.log((c + 1.0) / (of + F.col("kinds") + 1.0))
+    says = F.concat(F.zip_with("s0", "all", share), F.array(share(total("s0"), total("all"))))
+    suffix = by(["suffix"], "s0").crossJoin(F.broadcast(world)).crossJoin(F.broadcast(known))
+    suffix = suffix.select(F.col("suffix").alias("_sx"), smooth("s0", F.col("w")).alias("s"), F.when(F.col("suffix").isNotNull(), says).alias("says"))
     host = by(["host", "suffix"], "h").join(suffix, F.col("suffix").eqNullSafe(F.col("_sx")))
-    return host.select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), smooth("h", F.col("s")).alias("prior"))
+    return host.select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), smooth("h", F.col("s")).alias("prior"), "says")
 
 
 class Fusion:
-    """The fitted tables of small, bounded size."""
+    """The text model and how far a declared language is to be trusted: tables of bounded size."""
 
-    def __init__(self, model: TextModel, agree: dict[str, np.ndarray], suffix: dict[str, np.ndarray], damping: float):
+    def __init__(self, model: TextModel, agree: dict[str, np.ndarray], damping: float):
         k = max(1, len(model.languages))
         self.model, self.damping = model, damping
         self.languages = model.languages
         total = sum(agree.values(), np.zeros(len(self.languages)))
         self.agree = {d: np.log((c + 0.5) / (total + 0.5 * (len(agree) + 1))) for d, c in agree.items()}
-        share = sum(suffix.values(), np.zeros(len(self.languages)))
-        self.suffix = {d: np.log((c + 1.0) / (share + 1.0 * (len(suffix) + 1))) for d, c in suffix.items()}
-        # In no language: what is declared and where it is from say as much as over all texts.
+        # In no language: what is declared says as much as over all texts.
         self.any_agree = {d: np.log((c.sum() + 0.5) / (total.sum() + 0.5 * (len(agree) + 1))) for d, c in agree.items()}
-        self.any_suffix = {d: np.log((c.sum() + 1.0) / (share.sum() + 1.0 * (len(suffix) + 1))) for d, c in suffix.items()}
         self.flat = np.full(len(self.languages), 1.0 / k)
 
-    def posterior(self, text: bytes, declared: str | None, suffix: str | None, prior: Sequence[float] | None) -> tuple[np.ndarray | None, int | None]:
+    def posterior(self, text: bytes, declared: str | None, prior: Sequence[float] | None, says: Sequence[float] | None) -> tuple[np.ndarray | None, int | None]:
         """Posterior by language and the language of the text alone; the posteriors leave the rest to no language."""
         s = self.model.score(text) if self.languages else None
         if s is None:
             return None, None
         said = int(s.argmax())
-        z = s * self.damping
-        z = z + self.agree.get(declared, 0.0) + self.suffix.get(suffix, 0.0) + np.log(np.asarray(prior) if prior is not None else self.flat)
-        none = self.model.other(text) * self.damping + self.any_agree.get(declared, 0.0) + self.any_suffix.get(suffix, 0.0) + np.log(OTHER)
+        suffix = np.asarray(says) if says is not None else np.zeros(len(s) + 1)
+        z = s * self.damping + self.agree.get(declared, 0.0) + suffix[:-1] + np.log(np.asarray(prior) if prior is not None else self.flat)
+        none = self.model.other(text) * self.damping + self.any_agree.get(declared, 0.0) + suffix[-1] + np.log(OTHER)
         top = max(z.max(), none)
         z = np.exp(z - top)
         return z / (z.sum() + np.exp(none - top)), said
@@ -227,11 +233,13 @@ def fit(docs: DataFrame, sample: int = 4000, damping: float = 0.2) -> tuple[Fusi
     """docs: id, text, declared, suffix, host (host and suffix may be null)."""
     model = fit_text(docs, sample)
     if not model.languages:
-        return Fusion(model, {}, {}, damping), None
+        return Fusion(model, {}, damping), None
     counts = text_labels(docs, model).groupBy("host", "suffix", "declared", "said").agg(F.sum("n").alias("n"))
     counts = written(counts, "op2-counts")
-    fused = Fusion(model, table_of(counts, "declared", model.languages), table_of(counts, "suffix", model.languages), damping)
-    return fused, written(host_priors(counts, model.languages), "op2-priors")
+    fused = Fusion(model, table_of(counts, "declared", model.languages), damping)
+    out = written(places(counts, model.languages), "op2-places")
+    drop_written(counts)
+    return fused, out
 
 
 def evidence(docs: DataFrame, declared: Column, host: Column, suffix: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,20 +256,20 @@ def evidence(docs: DataFrame, declared: Column, host: Column, suffix: Column, id
 
 def classify(docs: DataFrame, threshold: float = 0.5, sample: int = 4000, keep_rows: bool = False) -> DataFrame:
     """docs as evidence() gives them -> id, language, posterior, text_language, kept (or, with keep_rows, _row of what is kept)."""
-    fused, priors = fit(docs.select("id", "text", "declared", "host", "suffix"), sample)
-    if priors is None:
-        d = docs.withColumn("prior", F.lit(None).cast("array<double>"))
+    fused, known = fit(docs.select("id", "text", "declared", "host", "suffix"), sample)
+    if known is None:
+        d = docs.withColumn("prior", F.lit(None).cast("array<double>")).withColumn("says", F.lit(None).cast("array<double>"))
     else:  # a host may hold a third of all rows: rows are dealt out by host and salt where the table is too large to send around
         salts = 16
-        p = priors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        p = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         d = docs.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(salts)))
         on = F.col("host").eqNullSafe(F.col("_host")) & F.col("suffix").eqNullSafe(F.col("_suffix")) & (F.col("_s") == F.col("_salt"))
         d = d.join(p, on, "left")
 
     def judge(b: pa.RecordBatch) -> tuple[list, list, list, list]:
         language, post, said, kept = [], [], [], []
-        for x, dec, suf, pri in zip(texts(b), b.column("declared").to_pylist(), b.column("suffix").to_pylist(), b.column("prior").to_pylist(), strict=True):
-            p, s = fused.posterior(x, dec, suf, pri)
+        for x, *more in zip(texts(b), *[b.column(c).to_pylist() for c in ("declared", "prior", "says")], strict=True):
+            p, s = fused.posterior(x, *more)
             i = None if p is None else int(p.argmax())
             language.append(None if p is None else fused.languages[i])
             post.append(None if p is None else float(p[i]))
@@ -284,11 +292,11 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = 4000, keep_r
                 )
 
     if keep_rows:
-        d = d.select("_row", "text", "declared", "suffix", "prior")
+        d = d.select("_row", "text", "declared", "prior", "says")
         return d.mapInArrow(rows, docs.select("_row").schema).select("_row.*")
     kind = docs.schema["id"].dataType.simpleString()
     out = f"id {kind}, language string, posterior double, text_language string, kept boolean"
-    return d.select("id", "text", "declared", "suffix", "prior").mapInArrow(verdicts, out)
+    return d.select("id", "text", "declared", "prior", "says").mapInArrow(verdicts, out)
 
 
 def of_documents(docs: DataFrame) -> DataFrame:

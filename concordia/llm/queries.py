@@ -39,6 +39,12 @@ def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_fusion.classify(docs).withColumnRenamed("id", "doc_id")
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op2 where markup and addresses speak: web pages."""
+    pages = language_fusion.of_pages(table(spark, sf_dir, "pages"))
+    return language_fusion.classify(pages).withColumnRenamed("id", "page_id")
+
+
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrapped_pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_shingle_join,
         op9_bounded_ring,
         op10_bin_completion,
+        language_of_pages,
     )
 }
 

@@ -117,6 +117,52 @@ def test_op2_pages_say_where_they_are_from(spark, sf):
     assert len(got) == d.count() and sum(g.kept for g in got) > 0.9 * len(got)
 
 
+def test_op2_posteriors_are_those_of_brute_force(spark, tmp_path):
+    rng = random.Random(31)
+    stock = {k: ["".join(rng.choice(abc) for _ in range(rng.randrange(3, 8))) for _ in range(40)] for k, abc in (("aa", "abcdefgh"), ("bb", "fghijklm"), ("cc", "lmnopqrs"))}
+    rows = []
+    for i in range(240):
+        k = rng.choice("aabbcc" if i % 3 else "aaabbc") * 2
+        text = " ".join(rng.choice(stock[k]) for _ in range(rng.randrange(1, 20)))
+        suffix = {"aa": "xa", "bb": "xb", "cc": "com"}[k] if rng.random() < 0.8 else None
+        rows.append((i, text, k if rng.random() < 0.7 else rng.choice(["aa", "dd", None]), f"h{i % 7}.{suffix}" if suffix else None, suffix))
+    rows.append((900, rng.choice(stock["bb"]) + " " + rng.choice(stock["cc"]), None, "h1.xb", "xb"))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    model = language_fusion.fit_text(docs, 10**6)
+    langs = model.languages
+    k, ids = len(langs), {x: j for j, x in enumerate(langs)}
+    said = [None if (s := model.score(r[1].encode())).max() < model.other(r[1].encode()) else langs[int(s.argmax())] for r in rows]
+    agree, suffix, host, world = defaultdict(lambda: np.zeros(k)), defaultdict(lambda: np.zeros(k)), defaultdict(lambda: np.zeros(k)), np.zeros(k)
+    for r, x in zip(rows, said, strict=True):
+        if x is not None:
+            one = np.eye(k)[ids[x]]
+            world += one
+            host[r[3], r[4]] += one
+            suffix[r[4]] += one
+            if r[2] in ids:
+                agree[r[2]] += one
+    smooth = lambda c, above: (c + 10 * above) / (c.sum() + 10)
+    top = smooth(world, np.full(k, 1 / k))
+    every = sum(v for s, v in suffix.items() if s)
+    kinds, trust = len({r[4] for r in rows if r[4]}), sum(agree.values())
+    got = {r.id: r for r in language_fusion.classify(docs.select("*"), sample=10**6).collect()}
+    flips = 0
+    for r in rows:
+        t = r[1].encode()
+        z, none = model.score(t) * 0.2, model.other(t) * 0.2 + np.log(0.02)
+        z = z + np.log(smooth(host[r[3], r[4]], smooth(suffix[r[4]], top)))
+        if r[4]:
+            z, none = z + np.log((suffix[r[4]] + 1) / (every + kinds + 1)), none + np.log((suffix[r[4]].sum() + 1) / (every.sum() + kinds + 1))
+        if r[2] in agree:
+            z, none = z + np.log((agree[r[2]] + 0.5) / (trust + 0.5 * (len(agree) + 1))), none + np.log((agree[r[2]].sum() + 0.5) / (trust.sum() + 0.5 * (len(agree) + 1)))
+        p = np.exp(z) / (np.exp(z).sum() + np.exp(none))
+        assert got[r[0]].language == langs[int(p.argmax())] and got[r[0]].posterior == pytest.approx(p.max(), rel=1e-6) and got[r[0]].kept == (p.max() >= 0.5)
+        flips += got[r[0]].language != got[r[0]].text_language
+    assert flips > 0  # the other evidence decides some of them
+
+
 LUHN = lambda d: sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, d[::-1]))) % 10 == 0
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
