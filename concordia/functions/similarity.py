@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 
+# Words of names that say nothing about identity.
+SMALL_WORDS = ("de", "del", "la", "el", "los", "las", "y", "e", "the", "and", "&", "a", "of")
+
+
 def grams(c: Column, n: int = 3) -> Column:
     """Distinct n-grams of each word of a key, padded with two blanks before and one after."""
     padded = F.concat(F.lit("  "), c, F.lit(" "))
@@ -82,29 +88,32 @@ def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def ranges_overlap(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
-    """Whether two year ranges with open ends touch; null if a range is wholly unknown."""
-    lo = lambda c: F.coalesce(c, F.lit(-(10**6)))
-    hi = lambda c: F.coalesce(c, F.lit(10**6))
-    known = (a_from.isNotNull() | a_to.isNotNull()) & (b_from.isNotNull() | b_to.isNotNull())
-    return F.when(known, (lo(a_from) <= hi(b_to)) & (lo(b_from) <= hi(a_to)))
-
-
-def nearness(a: Column, b: Column, least_tokens: int = 1) -> Column:
-    """exact, reordered, contained or typo, else null, of two folded keys."""
-    ta, tb = F.array_sort(F.split(a, " ")), F.array_sort(F.split(b, " "))
-    short = F.least(F.size(ta), F.size(tb))
-    inside = F.size(F.array_intersect(ta, tb)) == F.least(F.size(F.array_distinct(ta)), F.size(F.array_distinct(tb)))
-    n = F.least(F.length(a), F.length(b))
-    d = F.levenshtein(a, b)
+    """Whether two year ranges touch; an end that is not known is the other end, and a range without ends gives null."""
+    return (F.coalesce(a_from, a_to) <= F.coalesce(b_to, b_from)) & (F.coalesce(b_from, b_to) <= F.coalesce(a_to, a_from))
+
+
+def nearness(a: Column, b: Column, least_tokens: int = 1, small: Sequence[str] = SMALL_WORDS) -> Column:
+    """exact, reordered, contained or typo, else null, of two folded keys.
+
+    Small words do not count.  Contained: all words of a name of least_tokens or
+    more are among those of one with more words.  Typos are edits of the names
+    without blanks: one from six letters on, two from twelve.
+    """
+    words = lambda c: F.filter(F.split(c, " "), lambda w: (w != "") & ~w.isin(list(small)))
+    ta, tb = words(a), words(b)
+    inside = lambda x, y: (F.size(x) >= least_tokens) & (F.size(x) < F.size(y)) & (F.size(F.array_except(x, y)) == 0)
+    ca, cb = F.array_join(ta, ""), F.array_join(tb, "")
+    n = F.least(F.length(ca), F.length(cb))
+    most = F.when(n >= 12, 2).when(n >= 6, 1).otherwise(0)
     return (
-        F.when(a == b, "exact")
-        .when((F.size(ta) > 1) & (ta == tb), "reordered")
-        .when((short >= least_tokens) & inside, "contained")
-        .when(((n >= 12) & (d <= 2)) | ((n >= 6) & (d <= 1)), "typo")
+        F.when((a == b) | (F.size(ta) > 0) & (ta == tb), "exact")
+        .when((F.size(ta) > 1) & (F.array_sort(ta) == F.array_sort(tb)), "reordered")
+        .when(inside(ta, tb) | inside(tb, ta), "contained")
+        .when((most > 0) & (F.levenshtein(ca, cb) <= most), "typo")
     )
 
 
 def numbers_differ(a: Column, b: Column) -> Column:
-    """Whether two titles name different numbers."""
-    nums = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
-    return nums(a) != nums(b)
+    """Whether two titles both name numbers, and not the same ones; 02 is 2."""
+    nums = lambda c: F.array_sort(F.transform(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")))
+    return (F.size(nums(a)) > 0) & (F.size(nums(b)) > 0) & (nums(a) != nums(b))

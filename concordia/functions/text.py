@@ -57,22 +57,24 @@ def without_articles(key: Column, articles: Sequence[str] = ARTICLES) -> Column:
 
 
 def name_forms(c: Column) -> Column:
-    """struct(display, primary, secondary, articleless, compact, tokens)."""
+    """struct(display, primary, secondary, articleless, articleless_plain, compact, compact_plain, tokens); the plain ones have no accents."""
     p, s = primary_key(c), secondary_key(c)
     return F.struct(
         display_name(c).alias("display"),
         p.alias("primary"),
         s.alias("secondary"),
-        without_articles(s).alias("articleless"),
-        F.replace(s, F.lit(" "), F.lit("")).alias("compact"),
-        F.filter(F.split(s, " "), lambda t: t != "").alias("tokens"),
+        without_articles(p).alias("articleless"),
+        fold_accents(without_articles(p)).alias("articleless_plain"),
+        F.replace(p, F.lit(" "), F.lit("")).alias("compact"),
+        F.replace(s, F.lit(" "), F.lit("")).alias("compact_plain"),
+        F.filter(F.split(p, " "), lambda t: t != "").alias("tokens"),
     )
 
 
 def variants(c: Column) -> Column:
     """Predictable spellings of a name, distinct."""
     n = name_forms(c)
-    return F.array_distinct(F.array(n["primary"], n["secondary"], n["articleless"], n["compact"]))
+    return F.array_distinct(F.array(n["primary"], n["articleless"], n["compact"], n["secondary"], n["articleless_plain"], n["compact_plain"]))
 
 
 @F.pandas_udf(StringType())

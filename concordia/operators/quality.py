@@ -43,14 +43,14 @@ def finding(df: DataFrame, detector: str, subject: Column, detail: Column) -> Da
 
 
 def findings(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """All detectors' findings, once per fingerprint."""
+    """All detectors' findings, once per detector and subject (the least detail), with a fingerprint."""
     out = None
     for part in parts.values():
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no detectors")
-    key = F.sha2(F.concat_ws("\x1f", "detector", "subject"), 256)
-    return out.withColumn("fingerprint", key).dropDuplicates(["fingerprint"])
+    once = out.groupBy("detector", "subject").agg(F.min("detail").alias("detail"))
+    return once.withColumn("fingerprint", F.sha2(F.concat_ws("\x1f", "detector", "subject"), 256))
 
 
 # -- text hygiene: a rule is a predicate of one text -----------------------------

@@ -12,14 +12,14 @@ from ..registry import Tables, query
 from ..streaming import funnel as S
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey < 60), h AS (SELECT l_partkey FROM m GROUP BY 1 HAVING count(*) <= 27),
+@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), h AS (SELECT l_partkey FROM m GROUP BY 1 HAVING count(*) <= 27),
           k AS (SELECT * FROM m WHERE l_partkey IN (SELECT l_partkey FROM h))
           SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS strength FROM k a JOIN k b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2""")
 def d2_bridges_without_hubs(t: Tables) -> DataFrame:
-    return V.shared_bridges(t.lineitem.filter("l_partkey < 60"), "l_suppkey", "l_partkey", 27)
+    return V.shared_bridges(t.lineitem, "l_suppkey", "l_partkey", 27)
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey < 60),
+@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
           e AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS strength FROM m a JOIN m b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
           n AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b, 1 AS strength FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey <> y.s_suppkey),
           r AS (SELECT a, b, 1 AS tier, strength FROM e WHERE strength >= 8 UNION ALL SELECT a, b, 2, strength FROM n UNION ALL SELECT a, b, 3, strength FROM e WHERE strength < 8),
@@ -27,7 +27,7 @@ def d2_bridges_without_hubs(t: Tables) -> DataFrame:
           p AS (SELECT a, b, tier, strength, row_number() OVER (PARTITION BY a ORDER BY tier, strength DESC, md5(concat(b, 's')), b) AS place FROM f WHERE k = 1)
           SELECT a, b, tier, CAST(strength AS DOUBLE) AS strength, place FROM p WHERE place <= 12""")
 def d4_similar_cascade(t: Tables) -> DataFrame:
-    e = V.shared_bridges(t.lineitem.filter("l_partkey < 60"), "l_suppkey", "l_partkey")
+    e = V.shared_bridges(t.lineitem, "l_suppkey", "l_partkey")
     s = t.supplier.select("s_suppkey", "s_nationkey")
     n = s.withColumnRenamed("s_suppkey", "a").join(s.withColumnRenamed("s_suppkey", "b"), "s_nationkey").filter("a <> b").select("a", "b", F.lit(1).alias("strength"))
     return V.fuse_ranks([e.filter("strength >= 8"), n, e.filter("strength < 8")], 12, R.daily_order("s", F.col("b")))
@@ -44,19 +44,15 @@ def d7_diversify(t: Tables) -> DataFrame:
 @query("""WITH f AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-15') AS imp0, count(*) FILTER (WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-15') AS acc0,
                      count(*) FILTER (WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-15') AS imp1, count(*) FILTER (WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-15') AS acc1
                      FROM (SELECT user_id % 4 AS user_id, event_type, ts FROM events) GROUP BY 1),
-          r AS (SELECT *, (acc0 + 1.0) / (imp0 + 2) AS r0, (acc1 + 1.0) / (imp1 + 2) AS r1 FROM f)
-          SELECT id, CASE WHEN least(imp0, imp1) < 100 OR least(acc0, acc1) < 20 THEN 'abstain' WHEN abs(r1 - r0) <= 1.96 * sqrt(abs(r0 * (1 - r0) / (imp0 + 3) + r1 * (1 - r1) / (imp1 + 3))) THEN 'inconclusive'
-                     WHEN r1 > r0 THEN 'rising' ELSE 'falling' END AS verdict, round(r1 - r0, 6) AS delta FROM r""")
+          q AS (SELECT *, (acc0 + 1.0) / (imp0 + 2) AS r0, (acc1 + 1.0) / (imp1 + 2) AS r1, concat_ws(',', CASE WHEN least(imp0, imp1) < 100 OR least(acc0, acc1) < 20 THEN 'insufficient_volume' END,
+                       CASE WHEN acc0 > imp0 OR acc1 > imp1 THEN 'invalid_funnel' END) AS reasons FROM f)
+          SELECT id, reasons, CASE WHEN reasons <> '' THEN NULL WHEN abs(r1 - r0) <= 1.96 * sqrt(greatest(0, r0 * (1 - r0) / (imp0 + 3) + r1 * (1 - r1) / (imp1 + 3))) THEN 'inconclusive'
+                     WHEN r1 > r0 THEN 'rising' ELSE 'falling' END AS direction, round(r1 - r0, 6) AS delta FROM q""")
 def d9_trend(t: Tables) -> DataFrame:
     early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
     n = lambda k, c: F.count_if((F.col("event_type") == k) & c)
     d = t.events.groupBy((F.col("user_id") % 4).alias("id")).agg(n("view", early).alias("imp0"), n("click", early).alias("acc0"), n("view", ~early).alias("imp1"), n("click", ~early).alias("acc1"))
-    # Rates may pass 1 on these stand-ins, so the variance is taken by amount.
-    d = V.trend(d)
-    r = lambda i: F.col(f"r{i}") * (1 - F.col(f"r{i}")) / (F.col(f"imp{i}") + 3)
-    margin = 1.96 * F.sqrt(F.abs(r(0) + r(1)))
-    verdict = F.when(F.col("reason").isNotNull(), "abstain").when(F.abs("delta") <= margin, "inconclusive").when(F.col("delta") > 0, "rising").otherwise("falling")
-    return d.select("id", verdict.alias("verdict"), F.round("delta", 6).alias("delta"))
+    return V.trend(d).select("id", F.array_join("reasons", ",").alias("reasons"), "direction", F.round("delta", 6).alias("delta"))
 
 
 @query("""WITH i AS (SELECT user_id, min(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1)
@@ -154,7 +150,7 @@ def d14_playable_chapters(t: Tables) -> DataFrame:
     return V.playable(d, ["conv_id"], "turn", "start", "total").select("conv_id", "turn", "duration")
 
 
-@query("""SELECT l_partkey, count(*) AS own FROM lineitem WHERE l_partkey < 200 AND (l_suppkey, l_returnflag) NOT IN (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity = 50 AND l_partkey < 400) GROUP BY 1""")
+@query("""SELECT l_partkey, count(*) AS own FROM lineitem WHERE (l_suppkey, l_returnflag) NOT IN (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09) GROUP BY 1""")
 def d13_scoped_credits(t: Tables) -> DataFrame:
-    wide = t.lineitem.filter("l_quantity = 50 and l_partkey < 400").select("l_suppkey", "l_returnflag")
-    return t.lineitem.filter("l_partkey < 200").join(wide, ["l_suppkey", "l_returnflag"], "left_anti").groupBy("l_partkey").agg(F.count("*").alias("own"))
+    wide = t.lineitem.filter("l_quantity = 50 and l_discount > 0.09").select("l_suppkey", "l_returnflag")
+    return t.lineitem.join(wide, ["l_suppkey", "l_returnflag"], "left_anti").groupBy("l_partkey").agg(F.count("*").alias("own"))

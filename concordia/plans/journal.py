@@ -26,21 +26,21 @@ JOURNAL_SQL = """j AS (SELECT 2 * (l_orderkey * 100000000 + l_linenumber * 10000
 
 
 @query("""SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.p IS NOT DISTINCT FROM n.p THEN 'same' ELSE 'changed' END AS change FROM
-          (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey < 4000) o FULL JOIN
-          (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '0' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey BETWEEN 500 AND 5000) n ON o.k = n.k""")
+          (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders WHERE o_orderpriority <> '1-URGENT') o FULL JOIN
+          (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '0' ELSE o_orderpriority END AS p FROM orders WHERE o_orderpriority <> '5-LOW') n ON o.k = n.k""")
 def c1_keyed_delta(t: Tables) -> DataFrame:
-    o = t.orders.filter("o_orderkey < 4000").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))
-    n = t.orders.filter("o_orderkey between 500 and 5000").select(F.col("o_orderkey").alias("k"), F.expr("case when o_orderkey % 9 = 0 then '0' else o_orderpriority end").alias("p"))
+    o = t.orders.filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))
+    n = t.orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("k"), F.expr("case when o_orderkey % 9 = 0 then '0' else o_orderpriority end").alias("p"))
     return R.keyed_delta(o, n, ["k"], ["p"]).select("k", "change")
 
 
 @query("""SELECT k, op, keys FROM (SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'I' WHEN n.k IS NULL THEN 'D' ELSE 'U' END AS op,
             CASE WHEN o.k IS NULL OR n.k IS NULL THEN 'p,s' WHEN o.p <> n.p AND o.s <> n.s THEN 'p,s' WHEN o.p <> n.p THEN 'p' WHEN o.s <> n.s THEN 's' END AS keys FROM
-          (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderkey < 4000) o FULL JOIN
-          (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '0' ELSE o_orderpriority END AS p, CASE WHEN o_orderkey % 4 = 0 THEN '0' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey BETWEEN 500 AND 5000) n ON o.k = n.k) WHERE keys IS NOT NULL""")
+          (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderpriority <> '1-URGENT') o FULL JOIN
+          (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '0' ELSE o_orderpriority END AS p, CASE WHEN o_orderkey % 4 = 0 THEN '0' ELSE o_orderstatus END AS s FROM orders WHERE o_orderpriority <> '5-LOW') n ON o.k = n.k) WHERE keys IS NOT NULL""")
 def c2_row_diff(t: Tables) -> DataFrame:
-    o = t.orders.filter("o_orderkey < 4000").selectExpr("o_orderkey as k", "o_orderpriority as p", "o_orderstatus as s")
-    n = t.orders.filter("o_orderkey between 500 and 5000").selectExpr("o_orderkey as k", "case when o_orderkey % 9 = 0 then '0' else o_orderpriority end as p", "case when o_orderkey % 4 = 0 then '0' else o_orderstatus end as s")
+    o = t.orders.filter("o_orderpriority <> '1-URGENT'").selectExpr("o_orderkey as k", "o_orderpriority as p", "o_orderstatus as s")
+    n = t.orders.filter("o_orderpriority <> '5-LOW'").selectExpr("o_orderkey as k", "case when o_orderkey % 9 = 0 then '0' else o_orderpriority end as p", "case when o_orderkey % 4 = 0 then '0' else o_orderstatus end as s")
     d = J.snapshot_diff(o, n, ["k"], ["p", "s"])
     return d.select("k", "op", F.array_join(F.array_sort(F.map_keys(F.coalesce("new_data", "old_data"))), ",").alias("keys"))
 
@@ -72,22 +72,22 @@ def c7_run_summary(t: Tables) -> DataFrame:
 
 
 @query("""SELECT coalesce(o.f, n.f) AS fingerprint, CASE WHEN o.f IS NULL THEN 'new' WHEN n.f IS NULL THEN CASE WHEN o.st = 'resolved' THEN 'gone' ELSE 'resolved' END WHEN o.st = 'resolved' THEN 'reopened' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS change FROM
-          (SELECT c_custkey AS f, c_mktsegment AS h, CASE WHEN c_custkey % 4 = 0 THEN 'resolved' ELSE 'open' END AS st FROM customer WHERE c_custkey < 900) o FULL JOIN
-          (SELECT c_custkey AS f, CASE WHEN c_custkey % 6 = 0 THEN 'x' ELSE c_mktsegment END AS h FROM customer WHERE c_custkey > 300) n ON o.f = n.f""")
+          (SELECT c_custkey AS f, c_mktsegment AS h, CASE WHEN c_custkey % 4 = 0 THEN 'resolved' ELSE 'open' END AS st FROM customer WHERE c_mktsegment <> 'BUILDING') o FULL JOIN
+          (SELECT c_custkey AS f, CASE WHEN c_custkey % 6 = 0 THEN 'x' ELSE c_mktsegment END AS h FROM customer WHERE c_mktsegment <> 'MACHINERY') n ON o.f = n.f""")
 def c8_findings_delta(t: Tables) -> DataFrame:
-    o = t.customer.filter("c_custkey < 900").selectExpr("c_custkey as fingerprint", "c_mktsegment as content_hash", "case when c_custkey % 4 = 0 then 'resolved' else 'open' end as status")
-    n = t.customer.filter("c_custkey > 300").selectExpr("c_custkey as fingerprint", "case when c_custkey % 6 = 0 then 'x' else c_mktsegment end as content_hash")
+    o = t.customer.filter("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey as fingerprint", "c_mktsegment as content_hash", "case when c_custkey % 4 = 0 then 'resolved' else 'open' end as status")
+    n = t.customer.filter("c_mktsegment <> 'MACHINERY'").selectExpr("c_custkey as fingerprint", "case when c_custkey % 6 = 0 then 'x' else c_mktsegment end as content_hash")
     return J.findings_delta(o, n)
 
 
-@query("""SELECT k, p FROM (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey < 100) UNION ALL
-          SELECT o_orderkey, 'x' FROM orders WHERE o_orderkey BETWEEN 100 AND 200""")
+@query("""SELECT k, p FROM (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders WHERE o_orderpriority <> '1-URGENT') UNION ALL
+          SELECT o_orderkey, 'x' FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def s9_insert_missing(t: Tables) -> DataFrame:
-    base = t.orders.filter("o_orderkey < 100").selectExpr("o_orderkey as k", "o_orderpriority as p")
-    return R.insert_missing(base, t.orders.filter("o_orderkey between 50 and 200").selectExpr("o_orderkey as k", "'x' as p"), ["k"])
+    base = t.orders.filter("o_orderpriority <> '1-URGENT'").selectExpr("o_orderkey as k", "o_orderpriority as p")
+    return R.insert_missing(base, t.orders.filter("o_orderpriority <> '5-LOW'").selectExpr("o_orderkey as k", "'x' as p"), ["k"])
 
 
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey >= 50 THEN 'x' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey <= 200""")
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderpriority <> '5-LOW' THEN 'x' ELSE o_orderpriority END AS p FROM orders""")
 def s9_upsert(t: Tables) -> DataFrame:
-    base = t.orders.filter("o_orderkey < 100").selectExpr("o_orderkey as k", "o_orderpriority as p")
-    return R.upsert(base, t.orders.filter("o_orderkey between 50 and 200").selectExpr("o_orderkey as k", "'x' as p"), ["k"])
+    base = t.orders.filter("o_orderpriority <> '1-URGENT'").selectExpr("o_orderkey as k", "o_orderpriority as p")
+    return R.upsert(base, t.orders.filter("o_orderpriority <> '5-LOW'").selectExpr("o_orderkey as k", "'x' as p"), ["k"])

@@ -52,7 +52,7 @@ def g1_resolve_items(t: Tables) -> DataFrame:
     return d.select("entity", "alias", F.col("place").cast("long").alias("place"), "node")
 
 
-@query("""WITH u AS (SELECT l_orderkey AS entity, l_returnflag AS unit, 'p' || (l_partkey % 5) AS node, min(l_linenumber) AS place FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2, 3),
+@query("""WITH u AS (SELECT l_orderkey AS entity, l_returnflag AS unit, 'p' || (l_partkey % 5) AS node, min(l_linenumber) AS place FROM lineitem GROUP BY 1, 2, 3),
           n AS (SELECT entity, node, count(DISTINCT unit) AS said FROM u GROUP BY 1, 2), t AS (SELECT entity, count(DISTINCT unit) AS units FROM u GROUP BY 1),
           f AS (SELECT *, row_number() OVER (PARTITION BY entity, unit ORDER BY place, node) AS k FROM u), p AS (SELECT entity, min(node) AS lo, max(node) AS hi FROM f WHERE k = 1 GROUP BY 1),
           d AS (SELECT n.*, units, lo, hi, max(said) OVER (PARTITION BY n.entity) AS most FROM n JOIN t USING (entity) JOIN p USING (entity)),
@@ -62,19 +62,19 @@ def g1_resolve_items(t: Tables) -> DataFrame:
                  CASE WHEN split THEN 'source_disagreement' WHEN units = 1 THEN 'source_list_order' WHEN said = units THEN 'sources_agree' ELSE 'partial_source_agreement' END AS rule FROM e""")
 def g3_agreement(t: Tables) -> DataFrame:
     node = F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string"))
-    u = t.lineitem.filter("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("unit"), node.alias("node")).agg(F.min("l_linenumber").alias("place"))
+    u = t.lineitem.groupBy(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("unit"), node.alias("node")).agg(F.min("l_linenumber").alias("place"))
     flat = t.part.select(F.concat(F.lit("p"), (F.col("p_partkey") % 5).cast("string")).alias("id"), F.lit(None).cast("string").alias("parent")).distinct()
     return X.agree(u, X.lineage(flat))
 
 
 @query("""WITH i AS (SELECT o_custkey AS owner, o_orderkey AS item, l_partkey % 7 AS node, bool_or(l_linenumber = 1) AS is_primary, extract(year FROM max(o_orderdate)) AS year
-            FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 300 GROUP BY 1, 2, 3),
+            FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
           g AS (SELECT owner, node, count(DISTINCT item) FILTER (WHERE is_primary) AS n_primary, count(DISTINCT item) AS n_items,
             max(struct_pack(y := year, i := item)) FILTER (WHERE is_primary) AS lp, max(struct_pack(y := year, i := item)) AS la FROM i GROUP BY 1, 2),
           r AS (SELECT owner, node, n_primary, n_items, row_number() OVER (PARTITION BY owner ORDER BY n_primary DESC, lp DESC NULLS LAST, n_items DESC, la DESC, node) AS rank FROM g)
           SELECT * FROM r""")
 def g5_derive(t: Tables) -> DataFrame:
-    o = t.orders.filter("o_custkey < 300").select("o_orderkey", F.col("o_custkey").alias("owner"), F.year("o_orderdate").alias("year"))
+    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("owner"), F.year("o_orderdate").alias("year"))
     d = o.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     items = d.groupBy("owner", F.col("o_orderkey").alias("item"), (F.col("l_partkey") % 7).alias("node")).agg(F.bool_or(F.col("l_linenumber") == 1).alias("is_primary"), F.max("year").alias("year"))
     flat = t.part.select((F.col("p_partkey") % 7).alias("id"), F.lit(None).cast("long").alias("parent")).distinct()

@@ -24,7 +24,7 @@ def test_accents_share_the_secondary_key(spark):
 def test_punctuation_and_articles(spark):
     r = one(spark, a=T.name_forms(F.lit("Los D’León — Rock")), b=T.name_forms(F.lit("los d'león rock")), c=T.name_forms(F.lit("La La")), d=T.name_forms(F.lit("Guns & Roses")))
     assert r["a"]["primary"] == r["b"]["primary"] == "los dleón rock"
-    assert r["a"]["articleless"] == "dleon rock" and r["a"]["compact"] == "losdleonrock"
+    assert r["a"]["articleless"] == "dleón rock" and r["a"]["compact"] == "losdleónrock" and r["a"]["articleless_plain"] == "dleon rock"
     assert r["c"]["articleless"] == "la"
     assert r["d"]["primary"] == "guns y roses"
 
@@ -61,11 +61,24 @@ def test_similarity(spark):
     assert (r["o"], r["k"], r["e"], r["n"]) == (1, 3, -1, True) and r["j"] == pytest.approx(1 / 3)
 
 
+def test_numbers_differ_only_where_both_name_some(spark):
+    differ = lambda a, b: one(spark, x=S.numbers_differ(F.lit(a), F.lit(b)))["x"]
+    assert not differ("Mosaico", "Mosaico 2") and not differ("Vol 02", "Vol 2") and differ("No. 1, 2", "No. 2, 3") and not differ("2 y 1", "1 y 2")
+
+
+def test_year_ranges_with_one_end_are_that_year(spark):
+    touch = lambda *e: one(spark, x=S.ranges_overlap(*[F.lit(v).cast("int") for v in e]))["x"]
+    assert touch(1990, None, 1995, 2000) is False and touch(1990, None, 1985, 1990) is True and touch(None, 1996, 1995, None) is False
+    assert touch(1990, 1996, 1995, None) is True and touch(None, None, 1990, 1991) is None
+
+
 def test_nearness(spark):
     near = lambda a, b: one(spark, x=S.nearness(F.lit(a), F.lit(b), 2))["x"]
     assert near("la banda", "la banda") == "exact"
-    assert near("banda la", "la banda") == "reordered"
-    assert near("la banda", "la banda grande") == "contained"
+    assert near("banda la", "la banda") == "exact"  # small words do not count
+    assert near("sol banda", "la banda sol") == "reordered"
+    assert near("banda sol", "la banda sol grande") == "contained" and near("banda", "banda grande") is None
+    assert near("sol sol", "sol sol") == "exact" and near("luna roja", "lunaroja") == "typo"
     assert near("fernando", "fernanda") == "typo"
     assert near("luna", "sol") is None
 

@@ -25,8 +25,9 @@ def test_homonyms_are_reviewed(spark):
     assert decision(spark, [(1, 7, "exact", 1.0, 0.0, 0, False), (1, 8, "exact", 1.0, 0.0, 0, False)]) == {1: "REVIEW"}
 
 
-def test_person_without_context_is_no_match(spark):
-    assert decision(spark, [(1, 7, "exact", 1.0, 0.0, 0, False)], "PERSON") == {1: "REVIEW"}
+def test_person_without_context_is_a_candidate_at_most(spark):
+    assert decision(spark, [(1, 7, "exact", 1.0, 0.0, 0, False)], "PERSON") == {1: "POSSIBLE_MATCH"}
+    assert decision(spark, [(1, 10, "exact", 1.0, 0.0, 0, False), (1, 11, "exact", 1.0, 0.0, 0, False)], "PERSON") == {1: "REVIEW"}
 
 
 def test_album_of_another_artist_never_matches(spark):
@@ -64,6 +65,22 @@ def test_components_follow_chains(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
+def test_clusters_of_the_query_are_those_of_union_find(spark, sf):
+    from concordia.registry import QUERIES
+
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderstatus = 'P'").collect():
+        x, y = find(-r.o_custkey), find(r.o_orderkey)
+        parent[max(x, y)] = min(x, y)
+    assert {r.node: r.component for r in QUERIES["e24_clusters"](spark, sf).collect()} == {x: find(x) for x in parent}
+
+
 def test_blocks_are_symmetric_and_bounded(spark):
     d = spark.createDataFrame([(i, ["big", f"k{i // 2}"]) for i in range(10)], "id int, keys array<string>")
     p = E.block_pairs(d, "id", "keys", 5)
@@ -88,8 +105,53 @@ def test_net_changes(spark):
 def test_trend_abstains_and_decides(spark):
     rows = [("same", 1000, 100, 2000, 200, 7), ("up", 1000, 100, 1000, 200, 7), ("small", 50, 30, 1000, 200, 7), ("gap", 1000, 100, 1000, 200, 6)]
     d = spark.createDataFrame(rows, "k string, imp0 int, acc0 int, imp1 int, acc1 int, days1 int")
-    got = {r.k: (r.verdict, r.reason) for r in V.trend(d).collect()}
-    assert got == {"same": ("inconclusive", None), "up": ("rising", None), "small": ("abstain", "small_sample"), "gap": ("abstain", "incomplete_days")}
+    got = {r.k: (r.direction, r.reasons) for r in V.trend(d).collect()}
+    assert got == {"same": ("inconclusive", []), "up": ("rising", []), "small": (None, ["insufficient_volume"]), "gap": (None, ["incomplete_days"])}
+    d = spark.createDataFrame([(50, 60, 1000, 200, ["x"], ["x", "y"], False), (1000, 300, 1000, 200, ["x"], ["x"], True)], "imp0 int, acc0 int, imp1 int, acc1 int, configs0 array<string>, configs1 array<string>, stable boolean")
+    got = [(r.direction, r.reasons) for r in V.trend(d).orderBy("imp0").collect()]
+    assert got == [(None, ["identity_changed", "insufficient_volume", "exposure_changed", "invalid_funnel"]), ("falling", [])]
+
+
+def test_coverage_needs_all_atoms_and_one_whole_source(spark):
+    rows = [
+        ("whole", 1, "s", 1.0, False), ("whole", 2, "s", 1.0, False), ("parts", 1, "s", 1.0, False), ("parts", 2, "t", 0.6, False),
+        ("bound", 1, "s", 1.0, False), ("bound", 1, "t", 0.7, False), ("bound", 2, "t", 0.7, False), ("bound", 2, "s", None, False),
+        ("flag", 1, "s", 1.0, True), ("against", 1, None, None, True), ("none", 1, None, None, False),
+    ]
+    got = {r.k: (round(r.score, 3), r.status, r.conflicted) for r in E.coverage_score(spark.createDataFrame(rows, "k string, atom int, source string, strength double, disputed boolean"), ["k"]).collect()}
+    assert got == {
+        "whole": (1.0, "confirmed", False), "parts": (0.8, "partial", False), "bound": (0.7, "partial", False),
+        "flag": (0.5, "partial", True), "against": (0.0, "contradicted", False), "none": (0.0, "unverified", False),
+    }
+
+
+def test_name_comparisons_in_their_order(spark):
+    from concordia.functions import text as T
+
+    def compare(a, b, a_aliases=(), b_aliases=(), jw=0.0, low=()):
+        forms = lambda xs: F.array(*[T.name_forms(F.lit(x)) for x in xs]) if xs else F.filter(F.array(T.name_forms(F.lit(""))), lambda x: F.lit(False))
+        c = E.compare_names(T.name_forms(F.lit(a)), T.name_forms(F.lit(b)), forms(a_aliases), forms(b_aliases), F.lit(jw), F.array(*[F.lit(x) for x in low]) if low else None)
+        r = spark.range(1).select(c.alias("c")).first().c
+        return (r.level, r.value, r.low)
+
+    assert compare("Los Amigos", "los amigos") == ("exact", 1.0, False)
+    assert compare("Los Amigos", "Amigos") == ("article_variant", 0.92, False)
+    assert compare("Los Móviles", "Moviles") == ("none", 0.0, False)  # accents stay in the forms without articles
+    assert compare("Rock And Roll", "RockAndRoll") == ("article_variant", 0.90, False)
+    assert compare("Canción", "Cancion") == ("accent_only", 0.86, False)
+    assert compare("Trío", "Otro", b_aliases=["Trio"]) == ("accent_only", 0.84, False)
+    assert compare("Uno", "Dos", a_aliases=["Tres"], b_aliases=["tres"]) == ("alias_exact", 1.0, False)
+    assert compare("Uno", "Dos", b_aliases=["uno"], low=["uno"]) == ("alias_exact", 1.0, True)
+    assert compare("Una", "Ona", jw=0.8) == ("fuzzy", 0.8, False)
+
+
+def test_decisions_by_kind(spark):
+    assert decision(spark, [(1, 7, "exact", 1.0, 0.5, 2, False)], "ALBUM") == {1: "POSSIBLE_MATCH"}  # albums want three signals
+    assert decision(spark, [(1, 7, "exact", 1.0, 0.5, 3, False)], "ALBUM") == {1: "AUTO_MATCH"}
+    assert decision(spark, [(1, 7, "exact", 1.0, 0.7, 4, False)], "TRACK") == {1: "POSSIBLE_MATCH"}
+    # A conflict takes the anchor away, and the better one of two exact names wins.
+    assert decision(spark, [(1, 7, "exact", 1.0, 0.0, 0, True), (1, 8, "fuzzy", 0.9, 0.3, 3, False)]) == {1: "POSSIBLE_MATCH"}
+    assert decision(spark, [(1, 7, "fuzzy", 0.95, 0.03, 1, False)]) == {1: "REVIEW"}  # a signal, but too little context
 
 
 def test_diversify(spark):
