@@ -12,19 +12,22 @@ one side only.  Overlapping windows join into maximal spans.
 
 Cases: null, empty and shorter texts have no spans; words are compared exactly;
 a passage that repeats within one document only is not reported; rows that
-share a doc_id count as one document; an empty table gives an empty result.
+share a doc_id count as one document; of equal hashes in a window the leftmost is
+retained; doc_id is of an integer type; very long texts are read whole, in one
+worker's memory; other columns may have any names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, drop_written, gram_hashes, mix64, texts, word_hashes, written
+from .common import bloom_bits, bloom_has, bloom_size, drop_written, gram_hashes, mix64, sent, texts, word_slabs, written
 
 MIN_WORDS, BLOCK = 50, 25
 NONE = -(1 << 63)  # stands for a null doc_id
@@ -43,13 +46,16 @@ def minimisers(blocks: np.ndarray, width: int) -> np.ndarray:
     return place[:n]
 
 
-def suffix_positions(text: bytes, words: int = MIN_WORDS, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, block hashes and, by window of `words` words, the position of the retained suffix."""
-    w = word_hashes([text])[0]
-    if len(w) < words:
-        return w, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    g = gram_hashes(w, block)
-    return w, g, minimisers(g, words - block + 1)
+def suffix_positions(parts: Sequence[bytes], words: int = MIN_WORDS, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text word hashes, block hashes and, by window of `words` words, the position of the retained suffix."""
+    for _, every, begin in word_slabs(parts):
+        blocks = gram_hashes(every, block) if len(every) >= block else every[:0]
+        for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            if e - s < words:
+                yield every[s:e], blocks[:0], np.zeros(0, dtype=np.int64)
+            else:
+                g = blocks[s : e - block + 1]
+                yield every[s:e], g, minimisers(g, words - block + 1)
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
@@ -62,8 +68,7 @@ def retained(docs: DataFrame, words: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, d, p = [], [], []
-            for i, x in zip(_ids(b), texts(b), strict=True):
-                _, g, m = suffix_positions(x, words, block)
+            for i, (_, g, m) in zip(_ids(b), suffix_positions(texts(b), words, block), strict=True):
                 if len(m):
                     at = m[np.concatenate([[True], m[1:] != m[:-1]])]
                     h.append(g[at])
@@ -133,8 +138,7 @@ def surroundings(docs: DataFrame, bits: np.ndarray, log2_bits: int, words: int,
 
         for b in batches:
             h, whole, d, first, own = [], [], [], [], []
-            for i, x in zip(_ids(b), texts(b), strict=True):
-                w, g, m = suffix_positions(x, words, block)
+            for i, (w, g, m) in zip(_ids(b), suffix_positions(texts(b), words, block), strict=True):
                 if not len(m):
                     continue
                 begin = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
@@ -189,11 +193,12 @@ def windows_of(rows: DataFrame) -> DataFrame:
     return rows.select("windows", "first", "doc_id").mapInArrow(run, "window long, doc_id long, at int")
 
 
-def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, block: int = BLOCK, log2_bits: int = 23) -> DataFrame:
+def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, other_id (smallest other document that shares a part)."""
     suffixes = written(retained(docs, words, block), "op6-suffixes")
     found = written(matched(suffixes), "op6-matched")
     drop_written(suffixes)
+    log2_bits = bloom_size(found.count())
     bits = bloom_bits(found, F.col("suffix"), log2_bits)
     drop_written(found)
     around = written(surroundings(docs, bits, log2_bits, words, block), "op6-surroundings")
@@ -201,7 +206,8 @@ def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, block: int = BLOCK,
     group = written(group, "op6-groups")
     # Suffixes with more than one surrounding are compared window by window.
     mixed = group.groupBy("suffix").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.min("lo").alias("c"), F.max("hi").alias("d"))
-    mixed = mixed.filter((F.col("a") < F.col("b")) & (F.col("c") < F.col("d"))).select("suffix")
+    mixed = written(mixed.filter((F.col("a") < F.col("b")) & (F.col("c") < F.col("d"))).select("suffix"), "op6-mixed")
+    mixed = sent(mixed)  # a suffix that very many rows share then stays where its rows are
     both = around.join(group, ["suffix", "whole"])
     n = (F.length("windows") / 8).cast("int")
     other = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
