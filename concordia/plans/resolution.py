@@ -128,7 +128,7 @@ def e24_clusters(t: Tables) -> DataFrame:
           c AS (SELECT *, round(greatest(0, least(1, CASE WHEN same THEN 0.92::DOUBLE WHEN jw >= 0.76 THEN jw ELSE 0 END * 0.58::DOUBLE + CASE WHEN near THEN 0.12::DOUBLE ELSE -0.12::DOUBLE END)), 5) AS score FROM p),
           r AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY input_id ORDER BY score DESC, candidate_id)),
           d AS (SELECT *, CASE WHEN NOT near THEN 'NO_MATCH' WHEN score >= 0.9 THEN 'AUTO_MATCH' WHEN score >= 0.72 THEN 'POSSIBLE_MATCH' WHEN score >= 0.5 THEN 'REVIEW' ELSE 'NO_MATCH' END AS own FROM r WHERE rn = 1)
-          SELECT input_id, candidate_id, score, second, CASE WHEN own <> 'NO_MATCH' AND second >= 0.5 AND score - second < 0.08 THEN 'REVIEW' ELSE own END AS decision FROM d""")
+          SELECT input_id, candidate_id, score, coalesce(second >= 0.5, false) AS contested, CASE WHEN own <> 'NO_MATCH' AND second >= 0.5 AND score - second < 0.08 THEN 'REVIEW' ELSE own END AS decision FROM d""")
 def e11_decisions(t: Tables) -> DataFrame:
     """Supplier names with an article before them against the names, in blocks of ten keys, by the artist rules."""
     s = t.supplier.withColumn("k", F.expr("s_suppkey div 10"))
@@ -139,7 +139,8 @@ def e11_decisions(t: Tables) -> DataFrame:
     aliases = F.filter(F.array("c"), lambda x: F.lit(False))
     d = d.withColumn("jw", S.jaro_winkler(F.col("i.secondary"), F.col("c.secondary")))
     d = E.context_artist(d).withColumn("n", E.compare_names(F.col("i"), F.col("c"), aliases, aliases, F.col("jw")))
-    return E.decide(d.select("input_id", "candidate_id", "n.level", "n.value", "n.low", "context", "signals", "hard"))
+    d = E.decide(d.select("input_id", "candidate_id", "n.level", "n.value", "n.low", "context", "signals", "hard"))
+    return d.select("input_id", "candidate_id", "score", F.coalesce(F.col("second") >= E.REVIEW, F.lit(False)).alias("contested"), "decision")
 
 
 @query("""SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)""")
