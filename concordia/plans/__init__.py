@@ -1,3 +1,3 @@
 """Registered queries, by area; importing this package registers them all."""
 
-from . import discovery, journal, quality, relational, resolution, search, sources, taxonomy  # noqa: F401
+from . import curation, discovery, journal, quality, relational, resolution, search, sources, taxonomy  # noqa: F401
