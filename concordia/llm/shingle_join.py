@@ -23,8 +23,8 @@ share make few tiles.
 Cases: doc_id is of an integer type; null and empty texts and texts of white
 space only have n_shingles 0 and their own doc_id as component_id; a text of
 fewer than five words is one shingle; equal sets link; repeated rows get a row
-each; rows that share a doc_id share the smallest id of what any of them
-reaches; very long texts are read whole, in one worker's memory; other columns
+each; rows of one doc_id and different texts are linked each by its own text, and
+need not share a component; very long texts are read whole, in one worker's memory; other columns
 may have any names; an empty table gives an empty result.
 """
 
@@ -422,14 +422,14 @@ def _either(pairs: DataFrame) -> DataFrame:
 
 
 def labels(edges: DataFrame, reps: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """k1, rep, lab of every set with an edge: the smallest rep it reaches.
+    """k1, rep, lab of every set with an edge: the smallest rep it reaches; here a set's rep is its smallest doc_id with its key.
 
     Each round takes the least of the neighbours' labels and of the own label's
     label, so long chains take a logarithmic number of rounds.  start: labels
     from fewer edges.
     """
     both = written(edges.union(edges.select("b1", "a1")).distinct(), "op8-edges")
-    lab = reps.join(_either(edges), "k1", "left_semi").select("k1", "rep")
+    lab = reps.join(_either(edges), "k1", "left_semi").select("k1", F.struct(F.col("rep").alias("d"), F.col("k1").alias("k")).alias("rep"))
     if start is not None:
         lab = lab.join(start.select("k1", F.col("lab").alias("_s")), "k1", "left").select("k1", "rep", F.coalesce("_s", "rep").alias("lab"))
     else:
@@ -448,18 +448,17 @@ def labels(edges: DataFrame, reps: DataFrame, start: DataFrame | None = None) ->
             return lab
 
 
-def open_tiles(rows: DataFrame, sets: DataFrame, lab: DataFrame | None) -> DataFrame:
-    """token, tile, k1, band, lab, size, grouped of the tiles that hold sets of more than one component.
+def open_tiles(rows: DataFrame, lab: DataFrame | None) -> DataFrame:
+    """token, tile, k1, band, lab (a key of the component), size, grouped of the tiles that hold sets of more than one component.
 
     rows: token, k1, band.  A band's tile holds its own sets and, as guests,
     those of the band below.
     """
-    d = rows.join(sets.select("k1", "rep"), "k1")
     if lab is None:
-        d = d.withColumnRenamed("rep", "lab").withColumn("_in", F.lit(False))
+        d = rows.withColumn("lab", F.col("k1")).withColumn("_in", F.lit(False))
     else:
-        d = d.join(lab.select("k1", "lab"), "k1", "left").withColumn("_in", F.col("lab").isNotNull())
-        d = d.withColumn("lab", F.coalesce("lab", "rep")).drop("rep")
+        d = rows.join(lab.select("k1", F.col("lab.k").alias("lab")), "k1", "left").withColumn("_in", F.col("lab").isNotNull())
+        d = d.withColumn("lab", F.coalesce("lab", "k1"))
     d = written(d.select("*", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile")), "op8-labelled")
     many = d.groupBy("token", "tile").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("size"), F.max("band").alias("top"), F.bool_or("_in").alias("grouped"))
     many = many.filter((F.col("lo") < F.col("hi")) & (F.col("top") == F.col("tile"))).select("token", "tile", "size", "grouped")
@@ -564,7 +563,7 @@ def residual(tiles: DataFrame, sets: DataFrame, best: bool, block: int = 2048) -
 
 
 def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, t (hash of the text), n, component of every row of docs; a null doc_id is NONE.
+    """doc_id, t (hash of the text), n, component (its smallest doc_id) and node (its key) of every row of docs; a null doc_id is NONE.
 
     Leaders merge most of a group of near copies, the closest pairs of two
     components most of the rest; then all pairs of sets that still share a tile
@@ -595,7 +594,7 @@ def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
         if step == "star":
             pairs = star(tiles)
         else:
-            todo = open_tiles(tiles, sets, lab)
+            todo = open_tiles(tiles, lab)
             pairs = residual(todo.filter("grouped") if step == "best" else todo, sets, step == "best")
         close = written(bounded(pairs, sets, step == "star"), "op8-close")
         if close.head(1):
@@ -609,13 +608,14 @@ def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
             drop_written(todo)
     drop_written(tiles, some, sets)
     # Sets without links still join their equal copies.
-    own = both.filter("c > 1").select("k1", F.col("rep").alias("lab"))
+    own = both.filter("c > 1").select("k1", F.struct(F.col("rep").alias("d"), F.col("k1").alias("k")).alias("lab"))
     if lab is not None:
         own = own.join(lab.select("k1", F.col("lab").alias("_l")), "k1", "full").select("k1", F.coalesce("_l", "lab").alias("lab"))
-    own = written(own, "op8-components")
+    own = written(own.select("k1", F.col("lab.d").alias("d"), F.col("lab.k").alias("k")), "op8-components")
     drop_written(both, *([lab] if lab is not None else []))
     out = rows.filter("n >= 0").join(own, "k1", "left")
-    return out.select("doc_id", "t", "n", F.when((F.col("n") > 0) & F.col("lab").isNotNull(), F.col("lab")).otherwise(F.col("doc_id")).alias("component"))
+    some = (F.col("n") > 0) & F.col("k").isNotNull()
+    return out.select("doc_id", "t", "n", F.when(some, F.col("d")).otherwise(F.col("doc_id")).alias("component"), F.when(some, F.col("k")).otherwise(F.col("k1")).alias("node"))
 
 
 def components(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -632,7 +632,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     cell = ["doc_id", "t"]
     with cleared() as keep:
         got = written(joined(docs).filter("n > 0"), "op8-verdict")
-        best = got.groupBy("component").agg(F.min(F.struct(*cell)).alias("_b"))
-        gone = keep(written(got.join(best, "component").filter(F.struct(*cell) != F.col("_b")).select(*cell).distinct(), "op8-gone"))
+        best = got.groupBy("node").agg(F.min("doc_id").alias("_d"), F.min_by("t", F.struct(*cell)).alias("_t"))
+        gone = keep(written(got.join(best, "node").filter("doc_id <> _d or t <> _t").select(*cell).distinct(), "op8-gone"))
         twice = keep(written(got.groupBy(*cell).agg(F.count("*").alias("c")).filter("c > 1").select(*cell), "op8-twice"))
     return without(docs, [F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.xxhash64("text")], gone, twice)

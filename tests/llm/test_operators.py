@@ -320,6 +320,23 @@ def test_op4_mix(docs, rows, empty):
     assert curriculum_mix.curriculum(empty).count() == 0 and curriculum_mix.mixed(empty).count() == 0
 
 
+def test_op4_equal_rows_and_clashing_names(spark, tmp_path):
+    rng = random.Random(41)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    same = text(40)
+    rows = [(1, same, s, "x", 0.5, s) for s in ("a", "b", "c")] + [(2, "twin words here", "a", "x", 0.5, "t")] * 3 + [(3, text(100), "a", "y", 0.1, "z"), (4, text(100), "b", None, None, None), (None, text(30), None, "n", 0.0, "n")]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, source string, _m_at string, copies double, row string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = Counter()
+    for r in curriculum_mix.curriculum(docs).collect():
+        want[r.doc_id, r.source] += r.copies
+    out = curriculum_mix.mixed(docs)
+    assert out.schema == docs.schema
+    got = Counter((r.doc_id, r.source) for r in out.collect())
+    assert got == +want and all(tuple(r) in set(rows) for r in out.collect())
+
+
 def test_op4_demand_inverts():
     from pyspark.sql import functions as F  # noqa: F401
 
@@ -367,6 +384,28 @@ def test_op5_exact(docs, rows, empty):
     assert fingerprint_dedup.exact_dedup(empty).count() == 0 and fingerprint_dedup.keep_one(empty).count() == 0
 
 
+def test_op5_huge_texts_are_hashed_by_chunks(docs, rows):
+    key = lambda r: (str(r.doc_id), r.text_sha256, r.keep_id or -1, r.group_size, r.kept)
+    plain = sorted(map(key, fingerprint_dedup.exact_dedup(docs).collect()))
+    parts = fingerprint_dedup.fingerprints(docs, chunk=7, huge=20).collect()
+    whole = fingerprint_dedup.fingerprints(docs).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, whole)) and len(parts) == len(rows)
+    assert [x[1:4] for x in sorted(map(key, fingerprint_dedup.exact_dedup(docs, chunk=7, huge=20).collect()))] == [x[1:4] for x in plain]
+
+
+def test_op5_clashing_names_and_one_id_for_many_texts(spark, tmp_path):
+    rows = [(1, "A", "p", "q"), (1, "a", "p", "r"), (1, "b", "p", "s"), (2, "B", None, "t"), (3, "c", "_", "u"), (3, "c", "_", "u"), (None, None, "n", "v"), (None, "", "n", "w")]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, _g_sha string, t string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    for keep in (fingerprint_dedup.keep_one, shingle_join.keep_one):
+        out = keep(docs)
+        assert out.schema == docs.schema
+        left = Counter((r.text or "").lower() for r in out.collect())
+        assert left["a"] == left["b"] == left["c"] == 1 and set(left) == {"a", "b", "c", ""}
+    assert {(r.doc_id, r.text) for r in fingerprint_dedup.keep_one(docs).collect()} >= {(2, "B"), (3, "c")}
+
+
 def test_op5_fingerprints_combine():
     rng = random.Random(1)
     x = bytes(rng.randrange(256) for _ in range(5000))
