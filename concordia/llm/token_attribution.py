@@ -8,8 +8,9 @@ for the section that holds most of its characters, on a tie for the earliest;
 so the counts of a document's sections add up to its tokens.
 
 Cases: null and empty texts have one section 0..0 without tokens; sections
-without characters get no tokens; repeated rows are counted row by row; an
-empty table gives an empty result.
+without characters get no tokens; repeated rows are counted row by row; very
+long texts are encoded whole, in one worker's memory; other columns may have any
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
