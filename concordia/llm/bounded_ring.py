@@ -12,8 +12,8 @@ parameter.  Everything that grows with the data is DataFrame work: counting,
 ranking within a place and looking up the rank's interval.
 
 Cases: null text has 8 bytes and checksum 0; null doc_id hashes like a value;
-repeated rows are rows of their own; rows of equal hash follow one another in
-any order that the ranking gives; texts of any length count by their bytes;
+repeated rows are rows of their own; rows of equal hash rank by doc_id, size
+and checksum; texts of any length count by their bytes;
 other columns may have any names; an empty table gives an empty result.
 """
 
