@@ -15,7 +15,7 @@ SMALL_WORDS = ("de", "del", "la", "el", "los", "las", "y", "e", "the", "and", "&
 
 
 def grams(c: Column, n: int = 3) -> Column:
-    """Distinct n-grams of each word of a key, padded with two blanks before and one after."""
+    """Distinct n-grams of a key, padded with two blanks before and one after."""
     padded = F.concat(F.lit("  "), c, F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n))))
 

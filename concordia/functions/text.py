@@ -141,20 +141,20 @@ def excerpt(c: Column, most: int) -> Column:
     return F.when(short, c).when(F.length(sentence) >= most // 2, sentence).otherwise(F.concat(word, F.lit("…")))
 
 
-# Numbers as they occur in titles.
+# Numbers as they occur in titles, and words for volume, which all read as the last one.
 NUMBER_WORDS = {
-    "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "diez": "10",
-    "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
-    "ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "diez": "10", "once": "11", "doce": "12", "ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "xi": "11", "xii": "12",
 }
-VOLUME_WORDS = ("vol", "volume", "volumen", "parte", "part", "pt", "disco", "disc", "cd")
+VOLUME_WORDS = ("vol", "vols", "volume", "volumen")
 
 
 def title_tokens(c: Column) -> Column:
-    """Words of a title with numbers as digits and without words for volume."""
+    """Words of a title with numbers as digits and one word for volume; an i right after it is a 1."""
     numbers = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    words = F.filter(F.split(secondary_key(c), " "), lambda t: (t != "") & ~t.isin(*VOLUME_WORDS))
-    return F.transform(words, lambda t: F.coalesce(numbers[t], t))
+    words = F.filter(F.split(secondary_key(c), " "), lambda t: t != "")
+    first = lambda t, i: (t == "i") & (i > 0) & F.get(words, i - 1).isin(*VOLUME_WORDS)
+    return F.transform(words, lambda t, i: F.when(t.isin(*VOLUME_WORDS), VOLUME_WORDS[-1]).when(first(t, i), "1").otherwise(F.coalesce(numbers[t], t)))
 
 
 def track_core(c: Column) -> Column:

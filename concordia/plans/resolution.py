@@ -61,13 +61,9 @@ def e3_bounded_edits(t: Tables) -> DataFrame:
 @query("""WITH n AS (SELECT DISTINCT p_name AS n FROM part), g AS (SELECT n, list_distinct(list_transform(range(1, length('  ' || n || ' ') - 1), lambda i: substring('  ' || n || ' ', i, 3))) AS g FROM n)
           SELECT a.n AS a, b.n AS b, round(2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM g a JOIN g b ON a.n < b.n WHERE 2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) >= 0.5""")
 def e4_trigram_pairs(t: Tables) -> DataFrame:
-    n = t.part.select(F.col("p_name").alias("n")).distinct().withColumn("g", S.grams(F.col("n")))
-    # Names pair up through the trigrams they share, not each with each.
-    keyed = n.withColumn("ident", F.col("n"))
-    pairs = E.block_pairs(keyed, "ident", "g")
-    g = n.select("n", "g")
-    d = pairs.join(g.select(F.col("n").alias("a"), F.col("g").alias("ga")), "a").join(g.select(F.col("n").alias("b"), F.col("g").alias("gb")), "b")
-    return d.select("a", "b", F.round(S.dice(F.col("ga"), F.col("gb")), 6).alias("dice")).filter("dice >= 0.5")
+    n = t.part.select(F.col("p_name").alias("key")).distinct()
+    d = E.gram_pairs(n.select(F.col("key").alias("a"), "key"), n.select(F.col("key").alias("b"), "key"), 0.5)
+    return d.filter("a < b").select("a", "b", F.round("dice", 6).alias("dice"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1)

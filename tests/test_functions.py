@@ -40,7 +40,7 @@ def test_names_with_marks(spark):
 def test_titles(spark):
     r = one(spark, live=T.is_live_title(F.lit("Noche (en vivo)")), not_live=T.is_live_title(F.lit("Alive")), b=T.is_b_side_title(F.lit("Lados B")), tokens=T.title_tokens(F.lit("Grandes éxitos Vol. II")), core=T.track_core(F.lit("Luna (Remix) [Demo]")), items=T.genre_items(F.lit("Rock, Pop y Jazz")), weak=T.genre_items(F.lit("Rock y Pop")), slug=T.slug(F.lit("¡Año Nuevo!")))
     assert r["live"] and not r["not_live"] and r["b"]
-    assert r["tokens"] == ["grandes", "exitos", "2"]
+    assert r["tokens"] == ["grandes", "exitos", "volumen", "2"]
     assert r["core"] == {"core": "Luna", "markers": ["remix", "demo"]}
     assert r["items"] == ["rock", "pop y jazz"] and r["weak"] == ["rock", "pop"]
     assert r["slug"] == "ano-nuevo"
