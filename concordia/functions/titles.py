@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType
 
 from . import similarity as S
 from . import text as T
+from .similarity import _jaro_winkler, _osa
 
 # Words that alone identify no album, articles, and brackets that name another recording.
 GENERIC_WORDS = ("demo", "demos", "ep", "eps", "single", "sencillo", "maqueta", "maquetas", "bootleg", "promo", "sampler", "lp", "en", "vivo", "live", "directo", "casero", "volumen", "de", "el", "la", "los", "las")
@@ -68,9 +69,9 @@ def _close(a: str, b: str) -> bool:
     n = min(len(a), len(b))
     if n < 6:
         return False
-    if n >= 8 and S._jaro_winkler(a, b) >= 0.9:
+    if n >= 8 and _jaro_winkler(a, b) >= 0.9:
         return True
-    return abs(len(a) - len(b)) <= 2 and S._osa(a, b) <= (2 if n >= 8 else 1)
+    return abs(len(a) - len(b)) <= 2 and _osa(a, b) <= (2 if n >= 8 else 1)
 
 
 @F.pandas_udf(BooleanType())
@@ -187,3 +188,20 @@ def same_role(a: Column, b: Column) -> Column:
     """Whether each key of two role_keys arrays is covered by one of the other, which may be more concrete."""
     covered = lambda xs, ys: F.forall(xs, lambda x: F.exists(ys, lambda y: F.size(F.array_except(F.split(x, " "), F.split(y, " "))) == 0))
     return covered(a, b) & covered(b, a)
+
+
+def phrase_intent(query: Column, intents: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The first intent, in the order given, with a phrase that a query holds as whole words; words may be in the plural."""
+    words = F.trim(F.regexp_replace(F.lower(T.fold_accents(query)), "[^a-z0-9]+", " "))
+    padded, tokens = F.concat(F.lit(" "), words, F.lit(" ")), F.split(words, " ")
+    singular = F.transform(F.filter(tokens, lambda w: (F.length(w) > 3) & F.endswith(w, F.lit("s"))), lambda w: F.substr(w, F.lit(1), F.length(w) - 1))
+    heard = F.concat(tokens, singular)
+    out = F.lit(None).cast("string")
+    for name, phrases in reversed(intents):
+        long = [F.contains(padded, F.lit(f" {p} ")) for p in phrases if " " in p]
+        short = [F.arrays_overlap(heard, F.array(*[F.lit(p) for p in phrases if " " not in p]))] if any(" " not in p for p in phrases) else []
+        hit = F.lit(False)
+        for c in long + short:
+            hit = hit | c
+        out = F.when(hit, name).otherwise(out)
+    return F.when(words != "", out)
