@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -161,6 +162,41 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable
     return run
 
 
+BATCH = 1000  # rows; some MB of texts or sets
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """What is run within gets Arrow batches of `rows` rows at most: buffers in the JVM and copies in Python grow with a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def give_back() -> None:
+    """Return freed memory that this process' allocators keep to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """fn of mapInArrow; workers live on between tasks, so what a task has freed is given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

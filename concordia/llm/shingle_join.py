@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, bloom_size, cleared, distinct, drop_written, gram_hashes, texts, without, word_slabs, written
+from .common import bloom_bits, bloom_has, bloom_size, cleared, distinct, drop_written, gram_hashes, lean, small_batches, texts, without, word_slabs, written
 
 WORDS = 5
 NUM, DEN = 80, 100
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame:
             yield _batch([(None, None, -1, 0, 0, _packed_counts(count))], spec)
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
-    return narrow.mapInArrow(run, "doc_id long, t long, n long, k1 long, k2 long, counters binary")
+    return narrow.mapInArrow(lean(run), "doc_id long, t long, n long, k1 long, k2 long, counters binary")
 
 
 def _packed_counts(count: np.ndarray) -> bytes:
@@ -159,7 +159,7 @@ def summed(counters: DataFrame, fan: int = 32) -> np.ndarray:
 
     d = counters.select("counters")
     while (n := d.count()) > fan:
-        d = written(d.repartition(-(-n // fan)).mapInArrow(run, "counters binary"), "op8-counters")
+        d = written(d.repartition(-(-n // fan)).mapInArrow(lean(run), "counters binary"), "op8-counters")
     return sum((_counts(r.counters) for r in d.collect()), np.zeros(BUCKETS, dtype=np.int64))  # `fan` rows at most
 
 
@@ -248,6 +248,12 @@ def packed_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, k: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         tok, key, q, n = [], [], [], 0
+
+        def drained(parts: list[np.ndarray]) -> np.ndarray:
+            whole = np.concatenate(parts)
+            parts.clear()
+            return whole
+
         for b in batches:
             for h in shingle_sets(texts(b), k):
                 if not len(h) or (x := set_key(h, seed)) in seen:  # its rows are there already
@@ -260,12 +266,12 @@ def packed_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, k: int =
                 q.append(np.full(len(t), size_step(len(h)), dtype=np.uint8))
                 n += len(t)
                 if n >= flush:
-                    yield pack(*map(np.concatenate, (tok, key, q)))
-                    tok, key, q, n = [], [], [], 0
+                    yield pack(*map(drained, (tok, key, q)))
+                    n = 0
         if n:
-            yield pack(*map(np.concatenate, (tok, key, q)))
+            yield pack(*map(drained, (tok, key, q)))
 
-    return docs.select("text").mapInArrow(run, "bucket int, home boolean, t binary, k binary, q binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket int, home boolean, t binary, k binary, q binary")
 
 
 def _runs(b: np.ndarray) -> list[tuple[int, int]]:
@@ -316,7 +322,7 @@ def shared_tokens(packed: DataFrame) -> DataFrame:
             yield out
 
     ordered = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return ordered.mapInArrow(run, "token long, k1 long, q int")
+    return ordered.mapInArrow(lean(run), "token long, k1 long, q int")
 
 
 def least_shared(q: Column) -> Column:
@@ -357,7 +363,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
                 yield b.select(list(PAIR)).append_column("over", pa.array(over, pa.int64())).filter(pa.array(ok))
 
     side = lambda s: sets.select(F.col("k1").alias(f"{s}1"), F.col("n").alias(f"{s}_n"), F.col("fine").alias(f"{s}_fine"))
-    got = pairs.join(side("a"), "a1").join(side("b"), "b1").select(*PAIR, "a_n", "a_fine", "b_n", "b_fine").mapInArrow(run, "a1 long, b1 long, over long")
+    got = pairs.join(side("a"), "a1").join(side("b"), "b1").select(*PAIR, "a_n", "a_fine", "b_n", "b_fine").mapInArrow(lean(run), "a1 long, b1 long, over long")
     if best:
         got = got.groupBy("b1").agg(F.max_by("a1", F.struct("over", "a1")).alias("a1"))
     return got.select(*PAIR)
@@ -390,7 +396,7 @@ def of_sets(docs: DataFrame, reps: DataFrame, k: int, seed: int, make: str) -> D
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
     narrow = docs.select(ids.alias("doc_id"), F.xxhash64(ids).alias("h"), "text")
-    got = narrow.mapInArrow(run, "rep long, k1 long, n long, " + ", ".join(f"{c} binary" for c in make.split()))
+    got = narrow.mapInArrow(lean(run), "rep long, k1 long, n long, " + ", ".join(f"{c} binary" for c in make.split()))
     got = got.join(reps.select("k1", "rep"), ["k1", "rep"], "left_semi")
     return got.dropDuplicates(["k1"]).drop("rep")
 
@@ -412,7 +418,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, seed: i
     got = written(of_sets(docs, some, k, seed, "array"), "op8-arrays")
     side = lambda s: got.select(F.col("k1").alias(f"{s}1"), F.col("array").alias(f"{s}_h"))
     both = pairs.join(side("b"), "b1").join(side("a"), "a1")
-    out = written(both.select(*PAIR, "a_h", "b_h").mapInArrow(check, "a1 long, b1 long"), "op8-links")
+    out = written(both.select(*PAIR, "a_h", "b_h").mapInArrow(lean(check), "a1 long, b1 long"), "op8-links")
     drop_written(got, some)
     return out
 
@@ -556,7 +562,7 @@ def residual(tiles: DataFrame, sets: DataFrame, best: bool, block: int = 2048) -
         if out:
             yield _batch(out, spec)
 
-    return d.mapInArrow(run, "a1 long, b1 long").distinct()
+    return d.mapInArrow(lean(run), "a1 long, b1 long").distinct()
 
 
 # -- components ----------------------------------------------------------------
@@ -569,6 +575,11 @@ def joined(docs: DataFrame, k: int = WORDS) -> DataFrame:
     components most of the rest; then all pairs of sets that still share a tile
     and no component are compared.
     """
+    with small_batches(docs.sparkSession):
+        return _joined(docs, k)
+
+
+def _joined(docs: DataFrame, k: int) -> DataFrame:
     for seed in range(0, 16, 2):
         sig = written(signatures(docs, k, seed), "op8-signatures")
         rows = sig.filter("n >= 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(NONE)))

@@ -741,3 +741,39 @@ def test_op10_dominance():
     assert not bin_completion.dominated(stock, ((7, 1),), 0)
     found, whole = bin_completion.completions(stock, 7, 7, bin_completion.Budget(1000))
     assert whole and found[0] == (0, ((7, 1),))
+
+
+def test_shingle_join_runs_in_small_batches(spark, docs, monkeypatch):
+    from concordia.llm import shingle_join as SJ
+
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], SJ.written
+    monkeypatch.setattr(SJ, "written", lambda df, tag: (seen.append(int(spark.conf.get(name))), write(df, tag))[1])
+    old = spark.conf.get(name)
+    assert SJ.components(docs).count() == docs.count()
+    assert seen and max(seen) <= 1000
+    assert spark.conf.get(name) == old
+
+
+def test_lean_gives_back_what_a_task_has_freed():
+    import os
+    import sys
+
+    import pytest
+
+    from concordia.llm.common import lean
+
+    if not sys.platform.startswith("linux"):
+        pytest.skip("reads /proc")
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6  # noqa: E731, SIM115
+    pins = []
+
+    def run(batches):
+        for b in batches:
+            parts = [bytes(2000) for _ in range(100_000)]
+            pins.append(bytes(2000))  # above the freed ones, so the heap cannot just shrink
+            del parts
+            yield b
+
+    before = held()
+    assert list(lean(run)(iter([1]))) == [1]
+    assert held() - before < 60
